@@ -40,6 +40,15 @@ def _words_in(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(0), lambda total, line: total + F.regexp_count(line, F.lit(WORD)))
 
 
+def _bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator, so that no later filter or lambda repeats their computation.
+
+    The optimiser pushes filters below a projection by copying its expressions; below a generator it cannot.
+    """
+    packed = F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
+    return df.select("*", packed.alias("__bound")).select("*", *(F.col(f"__bound.{k}").alias(k) for k in columns)).drop("__bound")
+
+
 def judge(docs: DataFrame, text_col: str = "text", percent_repeated: int = 20, least_words: int = 10) -> DataFrame:
     """``docs`` with one struct column ``quality`` more (any column of that name is replaced).
 
@@ -49,31 +58,28 @@ def judge(docs: DataFrame, text_col: str = "text", percent_repeated: int = 20, l
     a text fit an int, so any text that Spark can hold is judged whole.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.drop("quality").withColumn("__w", F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != ""))
-    step = step.withColumn("__lines", F.split(text, "\n"))
-    step = step.withColumn("__h", F.when(F.size("__w") >= 5, F.expr("transform(sequence(0, size(__w) - 5), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2], __w[i + 3], __w[i + 4]))")).otherwise(F.expr("cast(array() as array<bigint>)")))
+    step = docs.drop("quality")
+    step = _bind(step, __w=F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != ""), __lines=F.split(text, "\n"))
+    step = _bind(step, __h=F.when(F.size("__w") >= 5, F.expr("transform(sequence(0, size(__w) - 5), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2], __w[i + 3], __w[i + 4]))")).otherwise(F.expr("cast(array() as array<bigint>)")), __bad=F.filter("__lines", failed_line))
     # equal windows stand together in the sorted array: keep the places that have an equal neighbour
     places = F.expr("""transform(array(sort_array(transform(__h, (h, p) -> struct(h, p)))), s ->
         sort_array(transform(filter(s, (x, i) -> x.h = get(s, i - 1).h or x.h = get(s, i + 1).h), x -> x.p)))[0]""")
-    step = step.withColumn("__again", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), places).otherwise(F.expr("cast(array() as array<int>)")))
-    covered = F.expr("aggregate(__again, struct(-5 as last, 0L as n), (a, p) -> struct(p as last, a.n + least(5, p - a.last) as n), a -> a.n)")
-    step = step.withColumn("__bad", F.filter("__lines", failed_line))
+    again = F.when(F.size(F.array_distinct("__h")) < F.size("__h"), places).otherwise(F.expr("cast(array() as array<int>)"))
+    covered = F.aggregate(again, F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(5), p - a["last"])).alias("n")), lambda a: a["n"])
     real = F.filter("__lines", lambda line: F.rlike(line, F.lit(f"[^{SPACE}]")))
-    step = step.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c != "quality"),
-        "__bad",
-        "__lines",
-        F.size("__w").cast("long").alias("__n"),
-        F.length(F.array_join("__w", "")).cast("long").alias("__chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("__symbols"),
-        F.transform(F.array(real), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("__dup"),
-        covered.cast("long").alias("__repeat"),
-        _words_in(F.col("__bad")).cast("long").alias("__lost"),
-    )
+    step = _bind(
+        step,
+        __n=F.size("__w").cast("long"),
+        __chars=F.length(F.array_join("__w", "")).cast("long"),
+        __symbols=F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        __dup=F.transform(F.array(real), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
+        __repeat=covered.cast("long"),
+        __lost=_words_in(F.col("__bad")).cast("long"),
+    ).drop("__w", "__h")
     base_failed = (F.col("__n") < least_words) | (F.col("__repeat") * 100 > F.col("__n") * percent_repeated)
     clean = F.when(F.size("__bad") == 0, F.col(text_col)).otherwise(F.array_join(F.filter("__lines", lambda line: ~failed_line(line)), "\n"))
     quality = F.struct(
         F.col("__n").alias("n_words"), F.col("__chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__dup").alias("n_dup_lines"), F.col("__repeat").alias("n_repeat_words"),
         base_failed.alias("base_failed"), (~base_failed & (F.col("__lost") * 100 <= F.col("__n") * LOSS_PERCENT)).alias("kept"), F.col("__lost").alias("lost_words"), clean.alias("clean_text"),
     )
-    return step.withColumn("quality", quality).drop("__bad", "__lines", "__n", "__chars", "__symbols", "__dup", "__repeat", "__lost")
+    return _bind(step, quality=quality).drop("__bad", "__lines", "__n", "__chars", "__symbols", "__dup", "__repeat", "__lost")

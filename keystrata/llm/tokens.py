@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ MAGIC = b"KSTOK1\0\0"
 #: The dictionary is trained on at most this many whole documents, of at most so many UTF-8 bytes each.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICTIONARY_BYTES = 1500, 16_384, 65_536
 #: Distinct words whose ids a worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def open_fs(path: str):
@@ -124,8 +125,8 @@ class Encoder:
 
 
 def _groups(batch: pa.RecordBatch, most: int = 1 << 20):
-    """Slices of rows with about ``most`` characters of text, or of one longer row."""
-    lengths = np.nan_to_num(np.array(pa.compute.binary_length(batch.column("text").cast(pa.large_string())).to_pandas(), float)).cumsum()
+    """Slices of rows with about ``most`` bytes of text, or of one longer row."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False))
     i = 0
     while i < batch.num_rows:
         before = lengths[i - 1] if i else 0
@@ -257,7 +258,7 @@ def read_document(path: str, doc_id: int) -> list[list[int]]:
     m, out = _manifest(path), []
     for s in m["shards"]:
         shard = _Shard(path, s["file"], m["dictionary"])
-        hit = shard.index.filter(pa.compute.equal(shard.index["doc_id"], doc_id))
+        hit = shard.index.filter(pc.equal(shard.index["doc_id"], doc_id))
         out += [shard.ids(r["offset"], r["length"], m["width"]).tolist() for r in hit.to_pylist()]
     return out
 
