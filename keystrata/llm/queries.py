@@ -54,7 +54,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).alias("longest_match"),
     )
 
 
@@ -65,13 +64,56 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").cast("long").alias("n_detections"))
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_pages
+
+    path = fresh_folder(spark, "warc")
+    write_pages(table(spark, sf_dir, "pages"), path)
+    # digests and lengths are in the headers, so no payload is decoded
+    records = read_warc(spark, path, "record_id string, record_type string, payload_digest string, refers_to string, payload_bytes long")
+    page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    placed = shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_rows")
+
+
+def op7_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import site_line_dedup
+
+    found = site_line_dedup(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "host", "n_lines", "n_dropped", "kept_text")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls, rule_table
+
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark)).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_warc_archive": op2_warc_archive,
         "op3_quality_rules": op3_quality_rules,
         "op4_token_shards": op4_token_shards,
         "op5_near_dedup": op5_near_dedup,
+        "op6_shard_documents": op6_shard_documents,
+        "op7_site_line_dedup": op7_site_line_dedup,
+        "op8_url_filter": op8_url_filter,
         "op9_decontaminate": op9_decontaminate,
         "op10_mix_sources": op10_mix_sources,
         "pipeline": corpus_pipeline.run,
@@ -79,4 +121,6 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+
+    return ORACLES
