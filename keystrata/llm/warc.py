@@ -73,7 +73,7 @@ class _Writer(DataSourceArrowWriter):
         for batch in iterator:
             for lo in range(0, batch.num_rows, 64):
                 for row in batch.slice(lo, 64).to_pylist():
-                    out = out or fs.open_output_stream(f"{root}/{name}")
+                    out = out or fs.open_output_stream(f"{root}/{name}", compression=None)  # members are compressed already
                     data = _record(row)
                     if at - splits[-1] >= RANGE_BYTES:
                         splits.append(at)
