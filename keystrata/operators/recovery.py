@@ -15,8 +15,10 @@ def fold_edits(edits: DataFrame) -> DataFrame:
 
     Edits of an unknown op fail the fold, as a damaged metadata log must.
     """
-    kind = F.when(F.col("op").isin(ADD_RUN, DROP_RUN), "run").when(F.col("op").isin(ADD_WAL, DROP_WAL), "wal").when(F.col("op") == SET_NEXT, "next").otherwise(F.raise_error(F.lit("unknown metadata edit")))
-    newest = by_window(edits.withColumn("kind", kind).where("kind <> 'next'"), keys=("kind", "id"), order="edit_seq")
+    kind = F.when(F.col("op").isin(ADD_RUN, DROP_RUN), "run").when(F.col("op").isin(ADD_WAL, DROP_WAL), "wal").when(F.col("op") == SET_NEXT, "next")
+    known = F.coalesce(F.col("op").isin(SET_NEXT, ADD_RUN, DROP_RUN, ADD_WAL, DROP_WAL), F.lit(False))
+    edits = edits.withColumn("kind", F.when(known, kind).otherwise(F.concat(F.lit("x"), F.raise_error(F.lit("unknown metadata edit")).cast("string"))))
+    newest = by_window(edits.where("kind <> 'next'"), keys=("kind", "id"), order="edit_seq")
     return newest.where(F.col("op").isin(ADD_RUN, ADD_WAL)).select("kind", "id", "level")
 
 
