@@ -228,6 +228,23 @@ def _agreement(left: str, right: str):
     return total
 
 
+#: Most bits of the map of asked ids that is sent to all tasks: two million rows of sixteen bytes.
+MAP_BITS = 1 << 27
+
+
+def _map_filter(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` whose id may be among ``asked``: a one-probe Bloom map of bounded size keeps other texts from the shuffle.
+
+    About sixteen bits an id, at most ``MAP_BITS``; beyond that it lets more rows pass, never fewer.
+    """
+    bits = 1 << min(MAP_BITS.bit_length() - 1, max(16, (16 * asked.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}L) & 63 as int))")
+    words_ = asked.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("held"))
+    met = rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words_), "word")
+    return met.where(F.col("held").bitwiseAND(bit) != 0).drop("word", "held")
+
+
 def _confirm(width: int, percent: float):
     def sets(column):
         out = []
@@ -273,13 +290,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = pairs.distinct().join(sig.withColumnRenamed("rep", "a").alias("x"), "a").join(sig.withColumnRenamed("rep", "b").alias("y"), "b")
     sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_agreement("x", "y") >= least)
     close = scratch.keep(close.where(sizes).select("a", "b").distinct(), "close")
-    texts = base.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    asked = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
     # several rows may have one id: each such text takes part
-    texts = scratch.keep(texts, "texts")
+    texts = scratch.keep(_map_filter(base, asked).join(asked, "id", "left_semi"), "texts")
     both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(_confirm(width, percent), "u long, v long")
     links = scratch.keep(links.distinct(), "confirmed")
-    scratch.drop("forest", "texts", "close")
+    scratch.drop("forest", "texts", "close", "asked")
     # rows of equal fingerprints, and of equal ids, belong together
     alike = named.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
     groups = connected_components(links.select("u", "v").union(alike.where("u <> v")), scratch)
