@@ -34,6 +34,8 @@ from ._text import SPACED, U64, blocks, mix, windows, words
 from .components import connected_components
 
 TREES, DEPTH = 16, 8
+#: Of a crowded region, so many next rows of the order are candidates whatever their depth.
+NEAREST = 4
 KEYS = [f"k{t}" for t in range(TREES)]
 _r = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _r.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
@@ -134,32 +136,39 @@ def _neighbours(window: int, min_depth: int):
         n = len(a)
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.asarray(tree, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], names=["kind", "tree", "a", "b"])
 
+    def pairs(tree, key, rep, upto):
+        """Pairs whose first row is among the first ``upto``; all rows that they can reach are there."""
+        bits = key.view(U64)
+        i = np.arange(upto)
+        far = np.minimum(i + window, len(key) - 1)
+        reach = np.where((i + window < len(key)) & (tree[i] == tree[far]), _shared_bytes(bits[i] ^ bits[far]), 0)
+        crowd = reach >= min_depth
+        if crowd.any():
+            yield emit(2, tree[i][crowd], key[i][crowd], rep[i][crowd])
+        depth = np.where(crowd, np.minimum(reach + 1, DEPTH), min_depth)  # at which the region fits into the window
+        for s in range(1, window + 1):
+            j = i[: max(0, len(key) - s)]
+            need = min_depth if s <= NEAREST else depth[: len(j)]
+            j = j[(tree[j] == tree[j + s]) & (_shared_bytes(bits[j] ^ bits[j + s]) >= need)]
+            a, b = np.minimum(rep[j], rep[j + s]), np.maximum(rep[j], rep[j + s])
+            if len(j):
+                yield emit(0, tree[j][a != b], a[a != b], b[a != b])
+
     def run(batches):
         held = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        fresh, part = True, TaskContext.get().partitionId()
+        part, first = TaskContext.get().partitionId(), 0
         for batch in batches:
             now = tuple(batch.column(k).to_numpy() for k in ("tree", "key", "rep"))
-            if not len(now[0]):
-                continue
-            old = len(held[0])
+            if first < window:
+                top = window - first
+                yield emit(1, now[0][:top] * 0 + part, now[1][:top], now[2][:top])
+                first += len(now[0][:top])
             tree, key, rep = (np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
-            if fresh:
-                yield emit(1, tree[:window] * 0 + part, key[:window], rep[:window])
-                fresh = False
-            bits = key.view(U64)
-            for s in range(1, window + 1):
-                if len(key) <= s:
-                    break
-                j = np.arange(max(0, old - s), len(key) - s)  # only pairs with a row that is new
-                j = j[(tree[j] == tree[j + s]) & (_shared_bytes(bits[j] ^ bits[j + s]) >= min_depth)]
-                if s == window and len(j):
-                    yield emit(2, tree[j], key[j], rep[j])
-                a, b = rep[j], rep[j + s]
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                yield emit(0, tree[j], a[a != b], b[a != b]) if (a != b).all() else emit(0, tree[j][a != b], a[a != b], b[a != b])
-            held = tuple(x[-window:] for x in (tree, key, rep))
-        if not fresh:
-            yield emit(1, held[0] * 0 + part, held[1], held[2])
+            whole = max(0, len(key) - window)
+            yield from pairs(tree, key, rep, whole)
+            held = tuple(x[whole:] for x in (tree, key, rep))
+        yield from pairs(*held, len(held[0]))
+        yield emit(1, held[0] * 0 + part, held[1], held[2])
 
     return run
 
