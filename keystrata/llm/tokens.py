@@ -138,19 +138,30 @@ def _groups(batch: pa.RecordBatch, most: int = 1 << 20):
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample: those of least hash of id and text.
 
-    Too few or too small samples give a raw dictionary of their bytes, none gives an empty one; both are valid.
+    Too few or too small samples give a raw dictionary of their bytes, none gives an empty one; both are valid. The
+    driver sees the sample's hashes and the dictionary; texts are sampled by hash and trained on in one task.
     """
-    import zstandard
+    short = docs.select(F.xxhash64(id_col, text_col).alias("hash"), F.col(text_col).alias("text")).where(F.octet_length(text_col).between(1, SAMPLE_DOC_BYTES))
+    hashes = [r[0] for r in short.select("hash").orderBy("hash").limit(SAMPLE_DOCS).collect()]
+    if not hashes:
+        return b""
+
+    def train(batches):
+        import zstandard
 
-    short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text").between(1, SAMPLE_DOC_BYTES))
-    rows = short.orderBy(F.xxhash64("id", "text"), "id", "text").limit(SAMPLE_DOCS).collect()
-    encoder = Encoder(tokenizer)
-    end = np.array([end_id], encoder.dtype).tobytes()
-    samples = [x + end for x in encoder.encode([r.text for r in rows])]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+        encoder = Encoder(tokenizer)
+        end = np.array([end_id], encoder.dtype).tobytes()
+        texts = sorted((h, t) for b in batches for h, t in zip(b.column("hash").to_pylist(), b.column("text").to_pylist(), strict=True))[:SAMPLE_DOCS]
+        samples = [x + end for x in encoder.encode([t for _, t in texts])]
+        try:
+            data = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            data = b"".join(samples)[-DICTIONARY_BYTES:]
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
+
+    # copies beyond the sample's number can share the last hash: no more than those of one text are added
+    sample = short.where(F.col("hash") <= hashes[-1]).groupBy("hash").agg(F.min("text").alias("text"))
+    return bytes(sample.repartition(1).mapInArrow(train, "data binary").first().data)
 
 
 def _dictionary(data: bytes):
