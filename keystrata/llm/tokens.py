@@ -8,6 +8,7 @@ files of lost or repeated attempts are never read. Ids are little-endian, two by
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import uuid
@@ -124,6 +125,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_for(path: str) -> Encoder:
+    """The encoder of a worker process: tasks that run in it one after the other share the words it has learnt."""
+    return Encoder(path)
+
+
 def _groups(batch: pa.RecordBatch, most: int = 1 << 20):
     """Slices of rows with about ``most`` bytes of text, or of one longer row."""
     lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False))
@@ -149,7 +156,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     def train(batches):
         import zstandard
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         texts = sorted((h, t) for b in batches for h, t in zip(b.column("hash").to_pylist(), b.column("text").to_pylist(), strict=True))[:SAMPLE_DOCS]
         samples = [x + end for x in encoder.encode([t for _, t in texts])]
@@ -187,7 +194,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def write(batches):
         import zstandard
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         frames = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(data), write_content_size=True)
