@@ -15,7 +15,8 @@ Plan, for N documents:
    signature agrees most with the region's per-byte majority. All members are candidates of the centre, which finds
    the links of an original to its thousands of variants that do not resemble each other.
 5. Candidates whose signatures agree too little for the threshold (by six standard errors) are dropped, the rest are
-   confirmed on the full shingle sets of the whole texts, and the links' connected components are the groups.
+   confirmed on the full shingle sets of the whole texts, and the links' connected components are the groups. The
+   centres' candidates are confirmed first: two classes that those links already connect need no text of theirs again.
 """
 
 from __future__ import annotations
@@ -274,6 +275,29 @@ def _confirm(width: int, percent: float):
     return run
 
 
+def _likely(pairs: DataFrame, sig: DataFrame, percent: float) -> DataFrame:
+    """Candidates (distinct) whose sizes and signatures allow a link and that are not yet in one ``component`` of ``sig``."""
+    share = percent / 100
+    least = math.floor(TREES * DEPTH * (share - 6 * math.sqrt(share * (1 - share) / (TREES * DEPTH))))
+    both = pairs.join(sig.withColumnRenamed("rep", "a").alias("x"), "a").join(sig.withColumnRenamed("rep", "b").alias("y"), "b")
+    sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_agreement("x", "y") >= least)
+    apart = F.coalesce(F.col("x.component") != F.col("y.component"), F.lit(True))
+    return both.where(apart & sizes).select("a", "b").distinct()
+
+
+def _confirmed(base: DataFrame, close: DataFrame, width: int, percent: float, scratch: Scratch, name: str) -> DataFrame:
+    """The links (``u``, ``v``) among candidate pairs, decided on whole texts."""
+    close = scratch.keep(close, "close")
+    asked = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    # several rows may have one id: each such text takes part
+    texts = scratch.keep(_map_filter(base, asked).join(asked, "id", "left_semi"), "texts")
+    both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(_confirm(width, percent), "u long, v long")
+    links = scratch.keep(links.distinct(), name)
+    scratch.drop("texts", "close", "asked")
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: float = 80, width: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -292,20 +316,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.keep(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), *(F.first(k).alias(k) for k in KEYS)), "classes")
     pairs, crowded = forest_candidates(classes, scratch)
     crowded = scratch.keep(crowded, "crowded")
-    pairs = pairs.union(centre_candidates(classes, crowded))
-    share = percent / 100
-    least = math.floor(TREES * DEPTH * (share - 6 * math.sqrt(share * (1 - share) / (TREES * DEPTH))))
-    sig = classes.select("rep", "n", *KEYS)
-    close = pairs.distinct().join(sig.withColumnRenamed("rep", "a").alias("x"), "a").join(sig.withColumnRenamed("rep", "b").alias("y"), "b")
-    sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_agreement("x", "y") >= least)
-    close = scratch.keep(close.where(sizes).select("a", "b").distinct(), "close")
-    asked = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-    # several rows may have one id: each such text takes part
-    texts = scratch.keep(_map_filter(base, asked).join(asked, "id", "left_semi"), "texts")
-    both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(_confirm(width, percent), "u long, v long")
-    links = scratch.keep(links.distinct(), "confirmed")
-    scratch.drop("forest", "texts", "close", "asked")
+    sig = classes.select("rep", "n", *KEYS, F.lit(None).cast("long").alias("component"))
+    links = None
+    if not crowded.isEmpty():
+        links = _confirmed(base, _likely(centre_candidates(classes, crowded), sig, percent), width, percent, scratch, "centred")
+        near = connected_components(links, Scratch(docs.sparkSession, "near-centres"))
+        sig = scratch.keep(sig.drop("component").join(near.withColumnRenamed("node", "rep"), "rep", "left"), "labelled")
+    rest = _confirmed(base, _likely(pairs, sig, percent), width, percent, scratch, "confirmed")
+    links = links.union(rest) if links else rest
+    scratch.drop("forest", "labelled")
     # rows of equal fingerprints, and of equal ids, belong together
     alike = named.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
     groups = connected_components(links.select("u", "v").union(alike.where("u <> v")), scratch)
