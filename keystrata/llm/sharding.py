@@ -81,7 +81,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     rows = store.keep(rows.withColumn("group_rows", F.coalesce("group_rows", F.lit(1))), "grouped")
     store.drop("rows")
     placed = propagate(rows.where("group_rows > 1").select("row", "group"), capacity, store, rounds)
-    placed = ranked(placed, F.col("shard"), n, [F.col("group"), F.col("row")], F.xxhash64("group"), "place")
+    placing = F.xxhash64("group", F.pmod(F.xxhash64("row"), F.lit(SALTS)))  # a hot group has as many bins
+    placed = ranked(placed, F.col("shard"), n, [F.col("group"), F.col("row")], placing, "place")
     placed = store.keep(placed.where(F.col("place") < _lookup(capacity, F.col("shard"))).select("row", "shard"), "placed")
     held = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     free = [c - held.get(s, 0) for s, c in enumerate(capacity)]
