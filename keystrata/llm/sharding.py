@@ -95,5 +95,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     pool = pool.withColumn("shard", shard.cast("int")).drop("place")
     done = store.keep(all_rows.where("shard is not null").unionByName(pool), "sharded")
     store.drop("grouped")
-    out = ranked(done, F.col("shard"), n, [F.col("id"), F.col("row")], F.xxhash64("row"), "slot")
+    # another hash than that of the pool: its bins became shards, so a shard's rows would share a few bins of it
+    out = ranked(done, F.col("shard"), n, [F.col("id"), F.col("row")], F.xxhash64("row", F.lit("slot")), "slot")
     return out.select("id", "size", "text_crc32", "group_rows", "shard", F.col("slot").cast("long").alias("slot"))
