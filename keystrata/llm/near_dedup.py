@@ -6,17 +6,16 @@ Plan, for N documents:
    held as 16 longs, plus a 128-bit fingerprint of the set. Texts go no further.
 2. Documents with one fingerprint collapse to a class (partial aggregate on fixed-width columns), so a hot group of
    copies costs one row afterwards.
-3. Forest: each class has one row per tree, range-partitioned and sorted by (tree, signature). A class's candidates
-   are the classes next to it in that order which share at least ``min_depth`` bytes. The depth adapts by region:
-   where few classes share a short prefix all of them are candidates, where many do only those with the longest
-   common prefixes are. The first and last rows of each partition are joined up afterwards, so no neighbours are
-   lost at a cut.
-4. Crowded regions, where more classes share a prefix than the window holds, also get a centre: the class whose
-   signature agrees most with the region's per-byte majority. All members are candidates of the centre, which finds
-   the links of an original to its thousands of variants that do not resemble each other.
+3. Forest: each class has one row per tree, range-partitioned and sorted by (tree, signature). A region is the classes
+   that share a tree's first ``min_depth`` bytes; all pairs of a region of at most ``window`` classes are candidates.
+   The first and last rows of each partition are joined up afterwards, so no neighbours are lost at a cut.
+4. Crowded regions, found by counting, are decided whole and exactly, in two steps. The centre, the class whose signature
+   agrees most with the region's per-byte majority, is confirmed against all members, which settles the links of an
+   original to its thousands of variants. All pairs of members but those of two members that are in the centre's
+   component are then counted on their full shingle sets, in blocks of bounded size that tasks take two at a time.
 5. Candidates whose signatures agree too little for the threshold (by six standard errors) are dropped, the rest are
-   confirmed on the full shingle sets of the whole texts, and the links' connected components are the groups. The
-   centres' candidates are confirmed first: two classes that those links already connect need no text of theirs again.
+   confirmed on the full shingle sets of the whole texts, and the links' connected components are the groups. Two classes
+   that the links of crowded regions already connect need no text of theirs again.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -35,8 +34,12 @@ from ._text import SPACED, U64, blocks, mix, windows, words
 from .components import connected_components
 
 TREES, DEPTH = 16, 8
-#: Of a crowded region, so many next rows of the order are candidates whatever their depth.
-NEAREST = 4
+#: Members of a crowded region, by hash, that vote for its centre. The centre spares pairs, it decides none.
+VOTERS = 32
+#: Most shingles of a block of a crowded region; each member counts ``MEMBER`` more.
+BLOCK, MEMBER = 1_000_000, 400
+#: Rows and shingles that one product of shingle sets takes.
+ROWS, COLUMNS = 512, 1 << 14
 KEYS = [f"k{t}" for t in range(TREES)]
 _r = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _r.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
@@ -131,7 +134,7 @@ def _shared_bytes(x: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(window: int, min_depth: int):
-    """Streams one sorted partition; pairs (kind 0), crowded regions (kind 2) and the rows at both ends (kind 1)."""
+    """Streams one sorted partition; pairs (kind 0) and the rows at both ends (kind 1)."""
 
     def emit(kind, tree, a, b):
         n = len(a)
@@ -141,16 +144,9 @@ def _neighbours(window: int, min_depth: int):
         """Pairs whose first row is among the first ``upto``; all rows that they can reach are there."""
         bits = key.view(U64)
         i = np.arange(upto)
-        far = np.minimum(i + window, len(key) - 1)
-        reach = np.where((i + window < len(key)) & (tree[i] == tree[far]), _shared_bytes(bits[i] ^ bits[far]), 0)
-        crowd = reach >= min_depth
-        if crowd.any():
-            yield emit(2, tree[i][crowd], key[i][crowd], rep[i][crowd])
-        depth = np.where(crowd, np.minimum(reach + 1, DEPTH), min_depth)  # at which the region fits into the window
         for s in range(1, window + 1):
             j = i[: max(0, len(key) - s)]
-            need = min_depth if s <= NEAREST else depth[: len(j)]
-            j = j[(tree[j] == tree[j + s]) & (_shared_bytes(bits[j] ^ bits[j + s]) >= need)]
+            j = j[(tree[j] == tree[j + s]) & (_shared_bytes(bits[j] ^ bits[j + s]) >= min_depth)]
             a, b = np.minimum(rep[j], rep[j + s]), np.maximum(rep[j], rep[j + s])
             if len(j):
                 yield emit(0, tree[j][a != b], a[a != b], b[a != b])
@@ -175,13 +171,16 @@ def _neighbours(window: int, min_depth: int):
 
 
 def forest_candidates(classes: DataFrame, scratch: Scratch, window: int = 24, min_depth: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b, distinct) of class ids, and the crowded regions (tree, prefix) met on the way.
+    """Candidate pairs (a < b, distinct) of class ids, all those of regions of at most ``window`` rows, and the other regions (tree, prefix).
 
     ``classes``: ``rep`` and the sixteen keys. All rows of a partition stream through one pass with ``window`` rows
     of memory. ``min_depth`` bytes: 0.85 ** 4 = 0.52 a tree at the least similarity, so sixteen trees miss a link
     with probability below 1e-5; among N unrelated classes a region holds N / 256 ** 4 of them.
     """
     rows = classes.select("rep", F.posexplode(F.array(*KEYS)).alias("tree", "key")).select(F.col("tree").cast("int").alias("tree"), "key", "rep")
+    region = ["tree", F.shiftright("key", 64 - 8 * min_depth).alias("prefix")]
+    crowded = scratch.keep(rows.groupBy(*region).count().where(F.col("count") > window).select("tree", "prefix"), "crowded")
+    rows = rows.select("*", region[1]).join(crowded, ["tree", "prefix"], "left_anti").select("tree", "key", "rep")
     ordered = rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     found = scratch.keep(ordered.mapInArrow(_neighbours(window, min_depth), "kind byte, tree int, a long, b long"), "forest")
     pairs = found.where("kind = 0").select("a", "b")
@@ -204,28 +203,127 @@ def forest_candidates(classes: DataFrame, scratch: Scratch, window: int = 24, mi
     ends = found.where("kind = 1").select(F.col("tree").alias("part"), F.col("a").alias("key"), F.col("b").alias("rep")).distinct()
     ends = ends.join(rows, ["key", "rep"])
     pairs = pairs.union(ends.groupBy().applyInPandas(across, "a long, b long")).distinct()
-    crowded = found.where("kind = 2").select("tree", F.shiftright("a", 64 - 8 * min_depth).alias("prefix")).distinct()
     return pairs, crowded
 
 
-def centre_candidates(classes: DataFrame, crowded: DataFrame, min_depth: int = 4) -> DataFrame:
-    """Pairs of each member of a crowded region with that region's centre.
+def crowded_members(classes: DataFrame, crowded: DataFrame, min_depth: int = 4) -> DataFrame:
+    """``tree``, ``prefix``, ``rep``, ``n`` and ``centre`` of each member of a crowded region.
 
     The majority value of each signature byte comes from partial aggregates (counts by region, byte place and
     value), the centre is the member that agrees with most of them, so no region is gathered in one task.
     """
-    rows = classes.select("rep", F.array(*KEYS).alias("sig"), F.posexplode(F.array(*KEYS)).alias("tree", "key"))
+    rows = classes.select("rep", "n", F.array(*KEYS).alias("sig"), F.posexplode(F.array(*KEYS)).alias("tree", "key"))
     rows = rows.withColumn("tree", F.col("tree").cast("int")).withColumn("prefix", F.shiftright("key", 64 - 8 * min_depth))
-    member = rows.join(crowded, ["tree", "prefix"]).select("tree", "prefix", "rep", "sig")
-    places = member.select("tree", "prefix", F.posexplode("sig").alias("place", "value"))
+    member = rows.join(crowded, ["tree", "prefix"]).select("tree", "prefix", "rep", "n", "sig")
+    by_hash = Window.partitionBy("tree", "prefix").orderBy(F.xxhash64("rep"), "rep")
+    voters = member.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= VOTERS)
+    places = voters.select("tree", "prefix", F.posexplode("sig").alias("place", "value"))
     votes = places.groupBy("tree", "prefix", "place", "value").count()
     best = votes.groupBy("tree", "prefix", "place").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
     ideal = best.groupBy("tree", "prefix").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("ideal"))  # sixteen entries
     agree = F.aggregate(F.zip_with("sig", "ideal", lambda x, y: (x == y["value"]).cast("int")), F.lit(0), lambda s, x: s + x)
     scored = member.join(ideal, ["tree", "prefix"]).select("tree", "prefix", "rep", agree.alias("score"))
     centre = scored.groupBy("tree", "prefix").agg(F.min_by("rep", F.struct(-F.col("score"), "rep")).alias("centre"))
-    pairs = member.select("tree", "prefix", "rep").join(centre, ["tree", "prefix"]).where("rep <> centre")
-    return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    # two classes of equal ids have one name
+    return member.groupBy("tree", "prefix", "rep").agg(F.sum("n").alias("n")).join(centre, ["tree", "prefix"])
+
+
+def centre_candidates(members: DataFrame) -> DataFrame:
+    """Pairs of each member of a crowded region with that region's centre."""
+    return members.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+
+
+def region_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``tree``, ``prefix``, ``x``, ``y``, ``side``, ``rep``, ``component``: members of blocks x and y of a region.
+
+    Every pair of members meets in one cell of its region, unless both are in the centre's component by ``labels``
+    (``node``, ``component``). A cell of x = y compares all its rows, others those of side 0 with those of side 1.
+    """
+    of = labels.select(F.col("node").alias("rep"), "component")
+    named = members.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of = labels.select(F.col("node").alias("centre"), F.col("component").alias("home"))
+    named = named.join(of, "centre", "left").withColumn("hub", F.col("component") == F.coalesce("home", "centre"))
+    weight = F.col("n") + MEMBER
+    totals = named.groupBy("tree", "prefix").agg(F.sum(F.when(F.col("hub"), weight).otherwise(0)).alias("in_hub"), F.sum(F.when(F.col("hub"), 0).otherwise(weight)).alias("outside"))
+    small = F.col("in_hub") + F.col("outside") <= BLOCK
+    totals = totals.where("outside > 0").select(
+        "tree", "prefix", small.alias("small"), F.when(small, 1).otherwise(F.ceil(F.col("outside") / BLOCK)).alias("n_out"), F.when(small, 0).otherwise(F.ceil(F.col("in_hub") / BLOCK)).alias("n_hub")
+    )
+    both = named.join(totals, ["tree", "prefix"]).withColumn("hub", F.col("hub") & ~F.col("small"))
+    hashed = F.xxhash64("rep")
+    block = F.when(F.col("hub"), F.col("n_out") + F.pmod(hashed, F.greatest("n_hub", F.lit(1)))).otherwise(F.pmod(hashed, F.col("n_out")))
+    others = F.when(F.col("hub"), F.col("n_out") - 1).otherwise(F.col("n_out") + F.col("n_hub") - 1)
+    both = both.select("tree", "prefix", "rep", "component", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), others.cast("long"))).alias("other"))
+    side = (F.col("block") > F.col("other")).cast("int")
+    return both.select("tree", "prefix", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "rep", "component")
+
+
+def _cell_links(width: int, percent: float):
+    """Links of one cell, as few as connect what is linked: counts of common shingles are products of 0-1 matrices."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        order = np.argsort(cell.column("side").to_numpy(), kind="stable")
+        cell = cell.take(pa.array(order))
+        rep, component, side = (cell.column(k).to_numpy() for k in ("rep", "component", "side"))
+        sets = []
+        for _, shingles, to in shingle_sets(cell.column("text").combine_chunks(), width):
+            sets += [np.unique(shingles[to[r] : to[r + 1]]) for r in range(len(to) - 1)]
+        n = np.array([len(x) for x in sets])
+        at = np.concatenate([[0], np.cumsum(n)])
+        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[code] > 1
+        code = [code[a:b][shared[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
+        root = np.unique(component, return_inverse=True)[1].copy()
+        one = int(cell.column("x")[0].as_py()) == int(cell.column("y")[0].as_py())
+        us, vs = [], []
+
+        def dense(rows, columns, lo):
+            out = np.zeros((len(rows), COLUMNS), np.float32)
+            for k, r in enumerate(rows):
+                c = code[r]
+                place = np.searchsorted(columns, c)
+                place = place[(place < len(columns)) & (columns[np.minimum(place, len(columns) - 1)] == c)] - lo
+                out[k, place[(place >= 0) & (place < COLUMNS)]] = 1
+            return out
+
+        left = np.arange(len(sets)) if one else np.flatnonzero(side == 0)
+        right = left if one else np.flatnonzero(side == 1)
+        for a in range(0, len(left), ROWS):
+            p = left[a : a + ROWS]
+            own = np.unique(np.concatenate([code[r] for r in p]))
+            for b in range(a if one else 0, len(right), ROWS):
+                q = right[b : b + ROWS]
+                columns = np.intersect1d(own, np.concatenate([code[r] for r in q]))
+                both = np.zeros((len(p), len(q)), np.int64)
+                for lo in range(0, len(columns), COLUMNS):
+                    both += (dense(p, columns, lo) @ dense(q, columns, lo).T).astype(np.int64)
+                hit = (n[p] > 0)[:, None] & (100 * both >= percent * (n[p][:, None] + n[q][None, :] - both))
+                while True:
+                    hit &= root[p][:, None] != root[q][None, :]
+                    rows = np.flatnonzero(hit.any(axis=1))
+                    if not len(rows):
+                        break
+                    for k, c in zip(rows, hit[rows].argmax(axis=1), strict=True):
+                        u, v = p[k], q[c]
+                        if root[u] != root[v]:
+                            us.append(rep[u])
+                            vs.append(rep[v])
+                            root[root == root[v]] = root[u]
+        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _region_links(base: DataFrame, members: DataFrame, labels: DataFrame, width: int, percent: float, scratch: Scratch) -> DataFrame:
+    """Links (``u``, ``v``) that connect what is linked inside crowded regions and not yet connected by ``labels``."""
+    cells = scratch.keep(region_cells(members, labels), "cells")
+    asked = scratch.keep(cells.select(F.col("rep").alias("id")).distinct(), "asked")
+    texts = _map_filter(base, asked).join(asked, "id", "left_semi").distinct()  # several texts may have one id: each takes part
+    rows = cells.join(texts.withColumnRenamed("id", "rep"), "rep")
+    links = rows.groupBy("tree", "prefix", "x", "y").applyInArrow(_cell_links(width, percent), "u long, v long")
+    links = scratch.keep(links.where("u <> v").distinct(), "regions")
+    scratch.drop("cells", "asked")
+    return links
 
 
 def _agreement(left: str, right: str):
@@ -315,16 +413,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = marks.where("n > 0 and id is not null")
     classes = scratch.keep(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), *(F.first(k).alias(k) for k in KEYS)), "classes")
     pairs, crowded = forest_candidates(classes, scratch)
-    crowded = scratch.keep(crowded, "crowded")
     sig = classes.select("rep", "n", *KEYS, F.lit(None).cast("long").alias("component"))
     links = None
     if not crowded.isEmpty():
-        links = _confirmed(base, _likely(centre_candidates(classes, crowded), sig, percent), width, percent, scratch, "centred")
+        members = scratch.keep(crowded_members(classes, crowded), "members")
+        links = _confirmed(base, _likely(centre_candidates(members), sig, percent), width, percent, scratch, "centred")
         near = connected_components(links, Scratch(docs.sparkSession, "near-centres"))
+        links = links.union(_region_links(base, members, near, width, percent, scratch))
+        near = connected_components(links, Scratch(docs.sparkSession, "near-regions"))
         sig = scratch.keep(sig.drop("component").join(near.withColumnRenamed("node", "rep"), "rep", "left"), "labelled")
     rest = _confirmed(base, _likely(pairs, sig, percent), width, percent, scratch, "confirmed")
     links = links.union(rest) if links else rest
-    scratch.drop("forest", "labelled")
+    scratch.drop("forest", "labelled", "members", "crowded")
     # rows of equal fingerprints, and of equal ids, belong together
     alike = named.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
     groups = connected_components(links.select("u", "v").union(alike.where("u <> v")), scratch)

@@ -93,6 +93,29 @@ def test_near_copies_of_one_original_are_one_group(spark):
     assert {x.id: x.component_id for x in near_duplicates(docs, percent=85).collect()} == components(rows, 85)
 
 
+def templated(n):
+    """A form of ten slots: any two copies are at 0.845, but in each pair two slots are alike, which makes it 0.874."""
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for i in range(n):
+        copy = [f"v{k}" for k in range(600)]
+        for k in range(10):
+            copy[30 + 55 * k] = f"n{i // 2 if k < 2 else i}_{k}_{k < 2}"
+        rows.append((r.randrange(10**9), " ".join(copy), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1_000_000, 60_000])
+def test_near_duplicates_of_a_template_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)  # the smaller one makes several blocks of a region
+    monkeypatch.setattr(near_dedup, "ROWS", 50)
+    rows = templated(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {x.id: x.component_id for x in near_duplicates(docs, percent=85).collect()} == components(rows, 85)
+
+
 def test_forest_finds_neighbours_across_partitions(spark):
     rows = [(i, *([i // 4 * (1 << 40)] * 16)) for i in range(400)]
     classes = spark.createDataFrame(rows, "rep long, " + ", ".join(f"{k} long" for k in near_dedup.KEYS))
