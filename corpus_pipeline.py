@@ -13,14 +13,15 @@ from keystrata.llm.quality import judge
 from keystrata.llm.queries import default_tokenizer, fresh_folder, table
 from keystrata.llm.tokens import read_token_shards, write_token_shards
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: ``position`` is the place in training order, 0 to 1; null until the sources are mixed.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "position"]
 #: Near duplicates of the pipeline: five words, similarity 0.8.
 SIMILARITY_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the lines that failed leave the texts of the others, and n_chars follows the text."""
-    judged = judge(docs).where("quality.kept").withColumn("text", F.col("quality.clean_text"))
+    judged = judge(docs).where("quality.kept").withColumn("text", F.col("quality.clean_text")).withColumn("position", F.lit(None).cast("double"))
     changed = F.col("quality.lost_words") > 0
     return judged.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
@@ -30,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, percent=SIMILARITY_PERCENT)
     kept = found.where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
     stays = docs.join(kept, "doc_id", "left_semi")
-    ties = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
+    ties = F.min(F.struct(*COLUMNS[1:])).alias("row")
     more = stays.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     single = stays.join(more, "doc_id", "left_anti")
     repeated = stays.join(more, "doc_id", "left_semi").groupBy("doc_id").agg(ties).select("doc_id", "row.*")
@@ -50,14 +51,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     store = Scratch(spark, "mixture")
     rows = store.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
     placed = curriculum(mix(rows, id_col="row")).select(F.col("id").alias("row"), "position")
-    mixed = rows.join(placed, "row")
+    mixed = rows.drop("position").join(placed, "row")
     return mixed.repartitionByRange("position", "row").sortWithinPartitions("position", "row").select(COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mixture; the result lists what was read back from them."""
+    """Token shards of the mixture, in its training order; the result lists what was read back from them."""
     path = fresh_folder(spark, "pipeline-shards")
-    write_token_shards(docs, path, default_tokenizer(), end_id=2)
+    write_token_shards(docs, path, default_tokenizer(), end_id=2, order_col="position")
     return read_token_shards(spark, path)
 
 

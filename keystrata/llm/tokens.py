@@ -177,8 +177,8 @@ def _dictionary(data: bytes):
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> None:
-    """Encode every text, end it with ``end_id`` and write shards in ascending order of id, nulls first.
+def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 3, order_col: str | None = None) -> None:
+    """Encode every text, end it with ``end_id`` and write shards in ascending order of ``order_col``, if given, then id, nulls first.
 
     Equal ids and repeated rows each get a frame, in the order of their texts' hashes. A null or empty text is the end id
     alone. An empty table gives a manifest without shards. Other columns are ignored.
@@ -225,8 +225,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(index)]), pa.array([total]), pa.array([width])], names=["part", "file", "docs", "tokens", "width"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), *([F.col(order_col).alias("place")] if order_col else []))
+    order = ["place"] * bool(order_col) + ["id", "tie"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     shards = ordered.mapInArrow(write, "part long, file string, docs long, tokens long, width long")
     store = Scratch(spark, "tokens")
     made = sorted(store.keep(shards, "shards").collect(), key=lambda r: r.part)  # one small row for each shard

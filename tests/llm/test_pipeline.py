@@ -1,6 +1,7 @@
 import collections
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import PROSE, components, words
 
 from keystrata.llm.queries import default_tokenizer
@@ -42,6 +43,16 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out)
 
 
+def test_shards_keep_the_training_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} of many", "en", f"s{i % 3}", 14) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs.withColumn("position", F.lit(None).cast("double")), str(tmp_path))
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    want = [r.doc_id for r in sorted(mixed.collect(), key=lambda r: (r.position, r.doc_id))]
+    out = corpus_pipeline.token_output(spark, mixed, str(tmp_path)).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == want != sorted(want)
+
+
 def test_empty_corpus(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
