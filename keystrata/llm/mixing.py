@@ -63,12 +63,12 @@ def position(share: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
-    """One row for each row of ``docs``: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``, ``begin``, ``finish``.
+    """One row for each row of ``docs``: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``, ``weight``, ``upto``, ``key``.
 
     ``size`` counts words (null or empty text: 0); ``taken`` = ``copies`` * ``size``. A source repeats all its documents
     as often as its target allows in whole, then the first documents of a fixed random order (a digest of id and row)
     while they fit, then the one remaining document that comes nearest what is missing, if that brings the sum nearer.
-    ``begin`` and ``finish`` are the shares of the source's demand before and after the document's first copy. Order and ties are settled by id, size
+    ``upto`` is the sum of sizes of the source up to and with the document, in that order. Order and ties are settled by id, size
     and a digest of the text, so reruns agree; equal rows are alike. Nulls in the source form a source of their own, last; a null id is one id.
     A source without words has target 0 and takes nothing. An empty table gives an empty result.
     """
@@ -110,3 +110,19 @@ def curriculum(mixed: DataFrame) -> DataFrame:
     copies = mixed.where("copies > 0").withColumn("round", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
     share = F.least(F.lit(1.0), (F.col("round") * F.col("source_size") + F.col("upto") - F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
     return copies.withColumn("position", position(share, _schedule(F.col("weight"))))
+
+
+def placements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """One row for each row of ``docs``, range-sorted by its first copy's training position, those not placed last.
+
+    ``id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` (copies that the curriculum placed, times
+    ``size``) and ``position``, ``position_2``, ``position_3`` (of the copies, ascending; null where there is none).
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "placements")
+    mixed = scratch.keep(mix(docs, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()), "mixed")
+    placed = curriculum(mixed).groupBy("row").agg(F.sum("size").alias("taken"), F.sort_array(F.collect_list("position")).alias("at"))  # MOST entries
+    rows = mixed.drop("taken").join(placed, "row", "left")
+    places = [F.get("at", F.lit(k)).alias(f"position_{k + 1}" if k else "position") for k in range(MOST)]
+    rows = rows.select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), *places, "row")
+    order = [F.col("position").asc_nulls_last(), F.col("row")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")

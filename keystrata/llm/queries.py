@@ -58,10 +58,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import placements
 
-    mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    placed = placements(table(spark, sf_dir, "documents"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position", "position_2", "position_3")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

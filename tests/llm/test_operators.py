@@ -11,7 +11,7 @@ from keystrata.llm import license_scan, near_dedup, tokens
 from keystrata.llm.decontam import find_contamination
 from keystrata.llm.license_scan import scan_licenses
 from keystrata.llm.line_dedup import site_line_dedup
-from keystrata.llm.mixing import curriculum, mix
+from keystrata.llm.mixing import curriculum, mix, placements
 from keystrata.llm.near_dedup import near_duplicates
 from keystrata.llm.quality import judge
 from keystrata.llm.queries import default_tokenizer
@@ -290,6 +290,18 @@ def test_mixing(spark):
     assert placed.where("position < 0 or position > 1").count() == 0 and placed.count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def test_mixing_query_places_every_copy(spark):
+    got = entry.queries()["op10_mix_sources"](spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = mix(docs)
+    assert collections.Counter((r.doc_id, r.size, r.taken) for r in got) == collections.Counter((r.id, r.size, r.taken) for r in mixed.collect())
+    at = sorted(p for r in got for p in (r.position, r.position_2, r.position_3) if p is not None)
+    assert at == sorted(r.position for r in curriculum(mixed).collect())
+    first = [r.position for r in got if r.position is not None]
+    assert first == sorted(first) and [r.position for r in got[len(first) :]] == [None] * (len(got) - len(first))
+    assert placements(empty(spark)).count() == 0
+
+
 def test_tokens_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
