@@ -20,7 +20,7 @@ from ._text import PLAIN, blocks, words
 W = r"0-9a-z\x80-\U0010FFFF"
 #: Phrases whose words stand consecutively, and their labels.
 BASE = (("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved")))
-#: label | keyword that must occur | name as an expression | SPDX identifiers | address (a part of it)
+#: label | keywords of which every alternative of the name holds one | name as an expression | SPDX identifiers | address (a part of it)
 FAMILIES = r"""
 apache-2.0 | apache | apache (software )?licen[sc]e,? (version )?2(\.0)? | apache-2\.0 | apache\.org/licenses/license-2\.0
 apache-1.1 | apache | apache (software )?licen[sc]e,? (version )?1\.1 | apache-1\.1 | apache\.org/licenses/license-1\.1
@@ -59,7 +59,7 @@ artistic-1.0 | artistic | artistic licen[sc]e,? (version )?1\.0 | artistic-1\.0(
 artistic-2.0 | artistic | artistic licen[sc]e,? (version )?2\.0 | artistic-2\.0 | opensource\.org/licenses?/artistic-license-2\.0
 bsl-1.0 | boost | boost software licen[sc]e,?( (- )?version 1\.0)? | bsl-1\.0 | boost\.org/license_1_0
 zlib | zlib | zlib licen[sc]e | zlib | opensource\.org/licenses?/zlib
-libpng | libpng | (png reference library licen[sc]e|libpng licen[sc]e) | libpng(-2\.0)? | libpng\.org/pub/png/src/libpng-license
+libpng | png | (png reference library licen[sc]e|libpng licen[sc]e) | libpng(-2\.0)? | libpng\.org/pub/png/src/libpng-license
 openssl | openssl | openssl licen[sc]e | openssl | openssl\.org/source/license
 python-2.0 | python software | python software foundation licen[sc]e | (python-2\.0|psf-2\.0) | docs\.python\.org/.{0,20}license
 ruby | ruby | ruby('s)? licen[sc]e | ruby | ruby-lang\.org/.{0,20}license
@@ -82,11 +82,11 @@ elastic-2.0 | elastic | elastic licen[sc]e,? (version )?2(\.0)? | elastic-2\.0 |
 sspl-1.0 | server side | server side public licen[sc]e,?( (version |v)1)? | sspl-1\.0 | mongodb\.com/licensing/server-side-public-license
 busl-1.1 | business source | business source licen[sc]e,?( (version )?1\.1)? | busl-1\.1 | mariadb\.com/bsl11
 cc0-1.0 | cc0 | cc0( 1\.0)?( universal)? | cc0-1\.0 | creativecommons\.org/publicdomain/zero
-cc-by-4.0 | cc | (cc[ -]by|creative commons attribution)( international)?( licen[sc]e)?,?( version)?[ -]4\.0 | cc-by-4\.0 | creativecommons\.org/licenses/by/4\.0
-cc-by-3.0 | cc | (cc[ -]by|creative commons attribution)( unported)?( licen[sc]e)?,?( version)?[ -]3\.0 | cc-by-3\.0 | creativecommons\.org/licenses/by/3\.0
-cc-by-sa | cc | (cc[ -]by[ -]sa|creative commons attribution[ -]share ?alike)([ -][1234]\.[05])? | cc-by-sa-[1234]\.[05] | creativecommons\.org/licenses/by-sa/
-cc-by-nc | cc | (cc[ -]by[ -]nc|creative commons attribution[ -]non ?-?commercial)([ -][1234]\.[05])? | cc-by-nc-[1234]\.[05] | creativecommons\.org/licenses/by-nc/
-cc-by-nd | cc | (cc[ -]by[ -]nd|creative commons attribution[ -]no ?-?deriv(ative)?s?)([ -][1234]\.[05])? | cc-by-nd-[1234]\.[05] | creativecommons\.org/licenses/by-nd/
+cc-by-4.0 | cc, creative | (cc[ -]by|creative commons attribution)( international)?( licen[sc]e)?,?( version)?[ -]4\.0 | cc-by-4\.0 | creativecommons\.org/licenses/by/4\.0
+cc-by-3.0 | cc, creative | (cc[ -]by|creative commons attribution)( unported)?( licen[sc]e)?,?( version)?[ -]3\.0 | cc-by-3\.0 | creativecommons\.org/licenses/by/3\.0
+cc-by-sa | cc, creative | (cc[ -]by[ -]sa|creative commons attribution[ -]share ?alike)([ -][1234]\.[05])? | cc-by-sa-[1234]\.[05] | creativecommons\.org/licenses/by-sa/
+cc-by-nc | cc, creative | (cc[ -]by[ -]nc|creative commons attribution[ -]non ?-?commercial)([ -][1234]\.[05])? | cc-by-nc-[1234]\.[05] | creativecommons\.org/licenses/by-nc/
+cc-by-nd | cc, creative | (cc[ -]by[ -]nd|creative commons attribution[ -]no ?-?deriv(ative)?s?)([ -][1234]\.[05])? | cc-by-nd-[1234]\.[05] | creativecommons\.org/licenses/by-nd/
 cc-by-nc-sa | cc | cc[ -]by[ -]nc[ -]sa([ -][1234]\.[05])? | cc-by-nc-sa-[1234]\.[05] | creativecommons\.org/licenses/by-nc-sa/
 cc-by-nc-nd | cc | cc[ -]by[ -]nc[ -]nd([ -][1234]\.[05])? | cc-by-nc-nd-[1234]\.[05] | creativecommons\.org/licenses/by-nc-nd/
 pddl-1.0 | public domain dedication | (open data commons )?public domain dedication (and|&) licen[sc]e | pddl-1\.0 | opendatacommons\.org/licenses/pddl
@@ -111,11 +111,12 @@ GENERAL = (
 
 
 class Rule:
-    __slots__ = ("confidence", "keyword", "label", "pattern", "priority")
+    __slots__ = ("confidence", "keywords", "label", "pattern", "priority")
 
-    def __init__(self, label, keyword, pattern, priority, confidence):
+    def __init__(self, label, keywords, pattern, priority, confidence):
         body = pattern.replace(" ", r"\s+")
-        self.label, self.keyword, self.priority, self.confidence = label, keyword.split(" ")[0] if " " in keyword else keyword, priority, confidence
+        self.label, self.priority, self.confidence = label, priority, confidence
+        self.keywords = tuple(k.split(" ")[0] for k in keywords.split(", "))  # words of an expression may be any white space apart
         self.pattern = re.compile(f"(?<![{W}])(?:{body})(?![{W}])")
 
 
@@ -124,12 +125,12 @@ def rules() -> tuple[Rule, ...]:
     """All rules, most binding first: tag (4), grant (3), address (3), name (2), general expressions (0 to 2)."""
     made = []
     for line in FAMILIES.strip().splitlines():
-        label, keyword, name, tag, address = (x.strip() for x in line.split(" | "))
+        label, keywords, name, tag, address = (x.strip() for x in line.split(" | "))
         made += [
             Rule(label, "spdx", f"spdx-license-identifier: ?(?:{tag})", 4, 1.0),
-            Rule(label, keyword, f"(?:licen[sc]ed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?(?:{name})", 3, 0.95),
+            Rule(label, keywords, f"(?:licen[sc]ed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?(?:{name})", 3, 0.95),
             Rule(label, re.split(r"[\\/({?]", address)[0], f"(?:https?://)?(?:www\\.)?{address}", 3, 0.9),
-            Rule(label, keyword, f"(?:{name})", 2, 0.8),
+            Rule(label, keywords, f"(?:{name})", 2, 0.8),
         ]
     made += [Rule(*x) for x in GENERAL]
     return tuple(sorted(made, key=lambda r: -r.priority))
@@ -142,7 +143,8 @@ def prefilter():
 
     by: dict[str, list[int]] = {}
     for k, r in enumerate(rules()):
-        by.setdefault(r.keyword, []).append(k)
+        for keyword in r.keywords:
+            by.setdefault(keyword, []).append(k)
     automaton = ahocorasick.Automaton()
     for keyword, numbers in by.items():
         automaton.add_word(keyword, tuple(numbers))

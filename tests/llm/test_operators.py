@@ -190,6 +190,54 @@ def test_license_scan(spark):
     assert license_scan.resolve([(0, 9, 1, "a", 0.5), (2, 5, 1, "b", 0.5), (2, 5, 3, "c", 1.0), (0, 9, 1, "a", 0.5)]) == [(0, 9, 1, "a", 0.5), (2, 5, 3, "c", 1.0)]
 
 
+def alternatives(pattern, r):
+    """Texts of an expression, such that every branch occurs; ``r`` chooses among the rest."""
+    from re import _constants as c
+    from re import _parser
+
+    def some(op, arg):
+        if op is c.LITERAL:
+            return [chr(arg)]
+        if op is c.IN:
+            kind, value = r.choice([x for x in arg if x[0] is not c.NEGATE])
+            return [" " if kind is c.CATEGORY else chr(value if kind is c.LITERAL else r.randint(*value))]
+        if op is c.BRANCH:
+            return [t for x in arg[1] for t in every(x)]
+        if op is c.SUBPATTERN:
+            return every(arg[3])
+        if op is c.MAX_REPEAT:
+            return [""] * (arg[0] == 0) + ["".join(r.choice(every(arg[2])) for _ in range(arg[0]))] * (arg[0] > 1) + every(arg[2]) * (arg[0] < 2)
+        return ["/"] if op is c.ANY else [""]
+
+    def every(items):
+        texts = [""]
+        for op, arg in items:
+            more = some(op, arg)
+            texts = [t + m for t in texts for m in more]
+            if len(texts) > 400:
+                texts = r.sample(texts, 400)
+        return texts
+
+    return every(_parser.parse(pattern))
+
+
+def test_license_prefilter_drops_nothing():
+    import random
+
+    r = random.Random(2)
+    some = lambda t: r.sample(t, min(40, len(t)))
+    texts = ["licensed under the creative commons attribution 4.0 international license", "png reference library license", "creative commons attribution-sharealike 3.0"]
+    texts += [f"x {t} y" for rule in license_scan.rules() for t in some(alternatives(rule.pattern.pattern, r))]
+    every = license_scan.rules()
+    matched = set()
+    for t in texts:
+        found = [(m.start(), m.end(), x.priority, x.label, x.confidence) for x in every for m in x.pattern.finditer(t)]
+        matched |= {x[3] for x in found}
+        assert license_scan.detect(t) == license_scan.resolve(found), t
+    assert matched == {x.label for x in every}
+    assert "cc-by-4.0" in [x[3] for x in license_scan.detect(texts[0])] and "libpng" in [x[3] for x in license_scan.detect(texts[1])]
+
+
 def pages(spark):
     rows = [(1, "http://A.example.com/en/1?x=1", "<p>same</p>"), (5, "https://b.org/", "<p>same</p>"), (3, None, None), (4, "no scheme", ""), (7, "http://spam-farm.example.net", "x\r\n\r\ny"), (None, "http://h/\r\nX: y", "<p>same</p>"), (5, "https://b.org/", "<p>same</p>"), (9, "://x.fr#a", "z" * 300_000)]
     return spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "page_id long, url string, html string, host string, digest long, salt int")
