@@ -15,7 +15,7 @@ Plan, for N documents:
    component are then counted on their full shingle sets, in blocks of bounded size that tasks take two at a time.
 5. Candidates whose signatures agree too little for the threshold (by six standard errors) are dropped, the rest are
    confirmed on the full shingle sets of the whole texts, and the links' connected components are the groups. Two classes
-   that the links of crowded regions already connect need no text of theirs again.
+   that centres' links already connect need no text of theirs again.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from ._text import SPACED, U64, blocks, mix, windows, words
 from .components import connected_components
 
 TREES, DEPTH = 16, 8
+#: Chance that the trees miss a link at the threshold: 7.4e-6 at 0.85 (4 bytes), 1.03e-5 at 0.80 (3 bytes), 1.5e-5 at 0.50 (1 byte).
+MISS = 2e-5
 #: Members of a crowded region, by hash, that vote for its centre. The centre spares pairs, it decides none.
 VOTERS = 32
 #: Most shingles of a block of a crowded region; each member counts ``MEMBER`` more.
@@ -170,12 +172,18 @@ def _neighbours(window: int, min_depth: int):
     return run
 
 
+def depth_for(percent: float) -> int:
+    """The most bytes of a region's prefix at which all trees miss a link at the threshold with probability below ``MISS``; 1 at least."""
+    share = percent / 100
+    return max([1, *(d for d in range(1, DEPTH) if (1 - share**d) ** TREES < MISS)])
+
+
 def forest_candidates(classes: DataFrame, scratch: Scratch, window: int = 24, min_depth: int = 4) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a < b, distinct) of class ids, all those of regions of at most ``window`` rows, and the other regions (tree, prefix).
 
     ``classes``: ``rep`` and the sixteen keys. All rows of a partition stream through one pass with ``window`` rows
-    of memory. ``min_depth`` bytes: 0.85 ** 4 = 0.52 a tree at the least similarity, so sixteen trees miss a link
-    with probability below 1e-5; among N unrelated classes a region holds N / 256 ** 4 of them.
+    of memory. ``min_depth`` bytes, from ``depth_for``: 0.85 ** 4 = 0.52 a tree at the least similarity, so sixteen trees
+    miss a link with probability below 1e-5; among N unrelated classes a region holds N / 256 ** min_depth of them.
     """
     rows = classes.select("rep", F.posexplode(F.array(*KEYS)).alias("tree", "key")).select(F.col("tree").cast("int").alias("tree"), "key", "rep")
     region = ["tree", F.shiftright("key", 64 - 8 * min_depth).alias("prefix")]
@@ -412,15 +420,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = scratch.keep(base.mapInArrow(_fingerprint(width, "id", "text"), schema), "marks")
     named = marks.where("n > 0 and id is not null")
     classes = scratch.keep(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), *(F.first(k).alias(k) for k in KEYS)), "classes")
-    pairs, crowded = forest_candidates(classes, scratch)
+    depth = depth_for(percent)
+    pairs, crowded = forest_candidates(classes, scratch, min_depth=depth)
     sig = classes.select("rep", "n", *KEYS, F.lit(None).cast("long").alias("component"))
     links = None
     if not crowded.isEmpty():
-        members = scratch.keep(crowded_members(classes, crowded), "members")
+        members = scratch.keep(crowded_members(classes, crowded, depth), "members")
         links = _confirmed(base, _likely(centre_candidates(members), sig, percent), width, percent, scratch, "centred")
         near = connected_components(links, Scratch(docs.sparkSession, "near-centres"))
         links = links.union(_region_links(base, members, near, width, percent, scratch))
-        near = connected_components(links, Scratch(docs.sparkSession, "near-regions"))
         sig = scratch.keep(sig.drop("component").join(near.withColumnRenamed("node", "rep"), "rep", "left"), "labelled")
     rest = _confirmed(base, _likely(pairs, sig, percent), width, percent, scratch, "confirmed")
     links = links.union(rest) if links else rest

@@ -93,6 +93,15 @@ def test_near_copies_of_one_original_are_one_group(spark):
     assert {x.id: x.component_id for x in near_duplicates(docs, percent=85).collect()} == components(rows, 85)
 
 
+def test_forest_depth_follows_the_threshold(spark, monkeypatch):
+    used, whole = [], near_dedup.forest_candidates
+    monkeypatch.setattr(near_dedup, "forest_candidates", lambda *a, **b: used.append(b.get("min_depth", 4)) or whole(*a, **b))
+    docs, _ = odd_docs(spark)
+    for percent in (80, 85):
+        near_duplicates(docs, percent=percent)
+    assert all((1 - s**d) ** 16 < 2e-5 for s, d in zip((0.80, 0.85), used, strict=True))
+
+
 def templated(n):
     """A form of ten slots: any two copies are at 0.845, but in each pair two slots are alike, which makes it 0.874."""
     import random
