@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ._store import Scratch
 
+#: Nodes that one task's union-find holds before it hands on what it has.
+NODES = 500_000
+
 
 def _contract(batches):
     """Union-find over the links of one partition, as far as they fit a fixed table: links become links to a root."""
     import pandas as pd
 
-    most = 500_000
-
     def flush(parent):
         nodes = list(parent)
         roots = []
@@ -41,33 +42,37 @@ def _contract(batches):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > most:
+        if len(parent) > NODES:
             yield flush(parent)
             parent = {}
     yield flush(parent)
 
 
-def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link upwards or is a root: then each link leads to the least node of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return counts.where("up > 1 or (up = 1 and n > 1)").isEmpty()
+
+
+def connected_components(links: DataFrame, scratch: Scratch, name: str = "links", most_rounds: int = 60) -> DataFrame:
     """Component of every node that has a link to another node: columns ``node``, ``component`` (its least node).
 
-    ``links``: long columns ``u`` and ``v``, in any order, with repeats; nulls and loops are ignored. Alternates
-    large-star and small-star steps (Kiveris et al., 2014): the minimum of a node's neighbours is a partial
-    aggregate, so a hub with very many links is combined before it is shuffled, and the join back on the hub is one
-    that adaptive execution may split. Each round is a written table; nothing but two sums reaches the driver.
+    ``links``: long columns ``u`` and ``v``, in any order, with repeats; nulls and loops are ignored. Partitions of links
+    contract by union-find, then large-star and small-star steps alternate (Kiveris et al., 2014): the minimum of a node's
+    neighbours is a partial aggregate, so a hub with very many links is combined before it is shuffled, and the join back
+    on the hub is one that adaptive execution may split. Each round is a written table of ``scratch``.
     """
-    clean = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = scratch.keep(clean.mapInPandas(_contract, "u long, v long").distinct(), "links0")
-    before = None
+    clean = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = scratch.keep(clean.mapInPandas(_contract, "u long, v long").distinct(), f"{name}0")
     for k in range(1, most_rounds):
+        if _settled(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))  # every neighbour in ``large`` is smaller
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = scratch.keep(small, f"links{k}")
-        scratch.drop(f"links{k - 1}")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("v") >= F.col("u"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
+        edges = scratch.keep(small.mapInPandas(_contract, "u long, v long").distinct(), f"{name}{k}")
+        scratch.drop(f"{name}{k - 1}")
     raise RuntimeError(f"components not settled after {most_rounds} rounds")

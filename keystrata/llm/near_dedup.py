@@ -2,20 +2,21 @@
 
 Plan, for N documents:
 
-1. One Arrow pass hashes every whole text into its set of word shingles and leaves 16 trees x 8 one-byte minima,
-   held as 16 longs, plus a 128-bit fingerprint of the set. Texts go no further.
+1. One Arrow pass hashes every whole text into its set of word shingles and leaves 16 trees x 8 minima of 16 bits, held
+   as 32 longs, plus a 128-bit fingerprint of the set. Texts go no further.
 2. Documents with one fingerprint collapse to a class (partial aggregate on fixed-width columns), so a hot group of
    copies costs one row afterwards.
-3. Forest: each class has one row per tree, range-partitioned and sorted by (tree, signature). A region is the classes
-   that share a tree's first ``min_depth`` bytes; all pairs of a region of at most ``window`` classes are candidates.
-   The first and last rows of each partition are joined up afterwards, so no neighbours are lost at a cut.
-4. Crowded regions, found by counting, are decided whole and exactly, in two steps. The centre, the class whose signature
-   agrees most with the region's per-byte majority, is confirmed against all members, which settles the links of an
-   original to its thousands of variants. All pairs of members but those of two members that are in the centre's
-   component are then counted on their full shingle sets, in blocks of bounded size that tasks take two at a time.
-5. Candidates whose signatures agree too little for the threshold (by six standard errors) are dropped, the rest are
-   confirmed on the full shingle sets of the whole texts, and the links' connected components are the groups. Two classes
-   that centres' links already connect need no text of theirs again.
+3. Forest: each class has one row per tree. A region is the classes that share a tree's first ``depth`` minima; regions
+   of one class, nearly all, go after a count. The others are sorted by signature: all pairs of a region of at most
+   ``WINDOW`` classes are candidates. In a crowded one the order is taken to its full depth, and the neighbours of longest
+   common prefix are candidates, besides each member with the region's centre, the member whose full-depth keys
+   are the most frequent ones over all its trees.
+4. Candidates whose signatures agree too little for the threshold (by six standard errors) are dropped, the others are
+   confirmed on the full shingle sets of the whole texts; the links' connected components are groups.
+5. What crowded regions have left is found exactly, by prefixes of shingle sets. Shingles are put in an order in which
+   those that cannot join two components come first and frequent ones last. Two sets that reach the threshold share a
+   shingle early in both, at places that still allow the overlap, so classes of different components meet on those
+   few shingles only. The confirmed links complete the components.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -34,15 +34,18 @@ from ._text import SPACED, U64, blocks, mix, windows, words
 from .components import connected_components
 
 TREES, DEPTH = 16, 8
-#: Chance that the trees miss a link at the threshold: 7.4e-6 at 0.85 (4 bytes), 1.03e-5 at 0.80 (3 bytes), 1.5e-5 at 0.50 (1 byte).
+#: Chance that the trees miss a link at the threshold: 7.4e-6 at 0.85 (4 minima), 1.03e-5 at 0.80 (3), 1.5e-5 at 0.50 (1).
 MISS = 2e-5
-#: Members of a crowded region, by hash, that vote for its centre. The centre spares pairs, it decides none.
-VOTERS = 32
-#: Most shingles of a block of a crowded region; each member counts ``MEMBER`` more.
-BLOCK, MEMBER = 1_000_000, 400
-#: Rows and shingles that one product of shingle sets takes.
-ROWS, COLUMNS = 512, 1 << 14
-KEYS = [f"k{t}" for t in range(TREES)]
+#: Classes of a region up to which all its pairs are candidates, and neighbours that a member of a larger one takes.
+WINDOW, NEAR = 24, 4
+#: Members of a crowded region that are sorted together; more are dealt over several such orders.
+ORDER = 512
+#: Buckets of shingles that are ranked by frequency; their ranks, a byte each, are sent to all tasks.
+BUCKETS = 1 << 20
+#: Parts over which the candidates of one class are dealt when they meet its text, and rows of a hot fingerprint theirs.
+SALTS = 16
+HEADS, TAILS = [f"h{t}" for t in range(TREES)], [f"l{t}" for t in range(TREES)]
+KEYS = HEADS + TAILS
 _r = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _r.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _r.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -80,9 +83,9 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _signatures(shingles: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """n x 128 bytes; rows without shingles are zero."""
+    """n x 128 minima of 16 bits; rows without shingles are zero."""
     n = len(to) - 1
-    out = np.zeros((n, TREES * DEPTH), np.uint8)
+    out = np.zeros((n, TREES * DEPTH), np.uint16)
     full = np.flatnonzero(np.diff(to))
     if not len(full):
         return out
@@ -100,7 +103,7 @@ def _signatures(shingles: np.ndarray, to: np.ndarray) -> np.ndarray:
                 temp += _ADD[k]
                 temp ^= temp >> U64(31)
                 np.minimum.reduceat(temp, starts, out=least[k])
-            out[rows] = ((mix(least) >> U64(17)) & U64(255)).astype(np.uint8).T
+            out[rows] = ((mix(least) >> U64(17)) & U64(65535)).astype(np.uint16).T
         lo = hi
     return out
 
@@ -121,227 +124,77 @@ def _fingerprint(width: int, id_col: str, text_col: str):
                             sizes[r] = len(part)
                             one[r] = part.sum(dtype=U64)
                             two[r] = ((part ^ (part >> U64(29))) * U64(0xBF58476D1CE4E5B9)).sum(dtype=U64)
-                keys = _signatures(shingles, to).view(">u8").astype(U64).view(np.int64)
+                keys = _signatures(shingles, to).astype(">u2").view(">u8").astype(U64).view(np.int64)  # two longs a tree
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, n).cast(pa.int64()), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(keys[:, t])) for t in range(TREES))],
+                    [ids.slice(i, n).cast(pa.int64()), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(keys[:, 2 * t + k])) for k in (0, 1) for t in range(TREES))],
                     names=["id", "n", "f1", "f2", *KEYS],
                 )
 
     return run
 
 
-def _shared_bytes(x: np.ndarray) -> np.ndarray:
-    """Leading bytes in which the two longs of each xor ``x`` agree."""
-    return sum(((x >> U64(s)) == 0).astype(np.int8) for s in range(0, 64, 8))
+def depth_for(percent: float) -> int:
+    """The most minima of a region's prefix at which all trees miss a link at the threshold with probability below ``MISS``; 1 to 4."""
+    share = percent / 100
+    return max([1, *(d for d in range(1, 5) if (1 - share**d) ** TREES < MISS)])
+
 
+def forest_members(classes: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """``tree``, ``prefix``, ``head``, ``tail``, ``rep``, ``size``: a row for each class and tree whose region holds ``size`` > 1 classes.
+
+    ``classes``: ``rep`` and the 32 keys. Regions are counted by partial aggregates. Minima have 16 bits, so unrelated
+    classes share a prefix with probability 2 ** (-16 * depth).
+    """
+    both = F.array(*(F.struct(F.col(h).alias("head"), F.col(t).alias("tail")) for h, t in zip(HEADS, TAILS, strict=True)))
+    rows = classes.select("rep", F.posexplode(both).alias("tree", "key")).select("tree", F.shiftright("key.head", 64 - 16 * depth).alias("prefix"), "key.head", "key.tail", "rep")
+    regions = rows.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
+    return scratch.keep(rows.join(scratch.keep(regions, "regions"), ["tree", "prefix"]), "members")
 
-def _neighbours(window: int, min_depth: int):
-    """Streams one sorted partition; pairs (kind 0) and the rows at both ends (kind 1)."""
 
-    def emit(kind, tree, a, b):
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.asarray(tree, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], names=["kind", "tree", "a", "b"])
+def _neighbours(window: int, near: int):
+    """Streams one sorted partition; pairs of rows of one order at most ``window`` rows apart, ``near`` in crowded ones."""
 
-    def pairs(tree, key, rep, upto):
+    def pairs(order, crowded, rep, upto):
         """Pairs whose first row is among the first ``upto``; all rows that they can reach are there."""
-        bits = key.view(U64)
         i = np.arange(upto)
         for s in range(1, window + 1):
-            j = i[: max(0, len(key) - s)]
-            j = j[(tree[j] == tree[j + s]) & (_shared_bytes(bits[j] ^ bits[j + s]) >= min_depth)]
-            a, b = np.minimum(rep[j], rep[j + s]), np.maximum(rep[j], rep[j + s])
+            j = i[: max(0, len(rep) - s)]
+            j = j[(order[j] == order[j + s]) & (rep[j] != rep[j + s]) & ((s <= near) | ~crowded[j])]
             if len(j):
-                yield emit(0, tree[j][a != b], a[a != b], b[a != b])
+                a, b = np.minimum(rep[j], rep[j + s]), np.maximum(rep[j], rep[j + s])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        held = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        part, first = TaskContext.get().partitionId(), 0
+        held = (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
         for batch in batches:
-            now = tuple(batch.column(k).to_numpy() for k in ("tree", "key", "rep"))
-            if first < window:
-                top = window - first
-                yield emit(1, now[0][:top] * 0 + part, now[1][:top], now[2][:top])
-                first += len(now[0][:top])
-            tree, key, rep = (np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
-            whole = max(0, len(key) - window)
-            yield from pairs(tree, key, rep, whole)
-            held = tuple(x[whole:] for x in (tree, key, rep))
+            now = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("order", "crowded", "rep"))
+            held = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
+            whole = max(0, len(held[0]) - window)
+            yield from pairs(*held, whole)
+            held = tuple(x[whole:] for x in held)
         yield from pairs(*held, len(held[0]))
-        yield emit(1, held[0] * 0 + part, held[1], held[2])
 
     return run
 
 
-def depth_for(percent: float) -> int:
-    """The most bytes of a region's prefix at which all trees miss a link at the threshold with probability below ``MISS``; 1 at least."""
-    share = percent / 100
-    return max([1, *(d for d in range(1, DEPTH) if (1 - share**d) ** TREES < MISS)])
+def forest_candidates(members: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """Candidate pairs (a < b) of neighbours in the sorted orders: all pairs of regions of at most ``window`` classes."""
+    crowded = F.col("size") > window
+    part = F.when(crowded, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / ORDER))).otherwise(0)
+    rows = members.select(F.xxhash64("tree", "prefix", part).alias("order"), crowded.alias("crowded"), "head", "tail", "rep")
+    ordered = rows.repartition("order").sortWithinPartitions("order", "head", "tail", "rep").select("order", "crowded", "rep")
+    return ordered.mapInArrow(_neighbours(window, near), "a long, b long")
 
 
-def forest_candidates(classes: DataFrame, scratch: Scratch, window: int = 24, min_depth: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b, distinct) of class ids, all those of regions of at most ``window`` rows, and the other regions (tree, prefix).
-
-    ``classes``: ``rep`` and the sixteen keys. All rows of a partition stream through one pass with ``window`` rows
-    of memory. ``min_depth`` bytes, from ``depth_for``: 0.85 ** 4 = 0.52 a tree at the least similarity, so sixteen trees
-    miss a link with probability below 1e-5; among N unrelated classes a region holds N / 256 ** min_depth of them.
-    """
-    rows = classes.select("rep", F.posexplode(F.array(*KEYS)).alias("tree", "key")).select(F.col("tree").cast("int").alias("tree"), "key", "rep")
-    region = ["tree", F.shiftright("key", 64 - 8 * min_depth).alias("prefix")]
-    crowded = scratch.keep(rows.groupBy(*region).count().where(F.col("count") > window).select("tree", "prefix"), "crowded")
-    rows = rows.select("*", region[1]).join(crowded, ["tree", "prefix"], "left_anti").select("tree", "key", "rep")
-    ordered = rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = scratch.keep(ordered.mapInArrow(_neighbours(window, min_depth), "kind byte, tree int, a long, b long"), "forest")
-    pairs = found.where("kind = 0").select("a", "b")
-
-    def across(pdf):  # at most 2 x window rows of each partition of the sorted order
-        import pandas as pd
-
-        out = []
-        ends = pdf.drop_duplicates(["part", "tree", "key", "rep"]).sort_values(["tree", "key", "rep"])
-        part, tree, key, rep = (ends[k].to_numpy() for k in ("part", "tree", "key", "rep"))
-        for s in range(1, window + 1):
-            if len(rep) <= s:
-                break
-            near = (part[:-s] != part[s:]) & (tree[:-s] == tree[s:]) & (_shared_bytes(key[:-s].view(U64) ^ key[s:].view(U64)) >= min_depth)
-            a, b = rep[:-s][near], rep[s:][near]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-        return pd.concat(out).query("a != b") if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    # end rows lack the tree, which follows from the class's keys: join it back from the sorted rows
-    ends = found.where("kind = 1").select(F.col("tree").alias("part"), F.col("a").alias("key"), F.col("b").alias("rep")).distinct()
-    ends = ends.join(rows, ["key", "rep"])
-    pairs = pairs.union(ends.groupBy().applyInPandas(across, "a long, b long")).distinct()
-    return pairs, crowded
-
-
-def crowded_members(classes: DataFrame, crowded: DataFrame, min_depth: int = 4) -> DataFrame:
-    """``tree``, ``prefix``, ``rep``, ``n`` and ``centre`` of each member of a crowded region.
-
-    The majority value of each signature byte comes from partial aggregates (counts by region, byte place and
-    value), the centre is the member that agrees with most of them, so no region is gathered in one task.
-    """
-    rows = classes.select("rep", "n", F.array(*KEYS).alias("sig"), F.posexplode(F.array(*KEYS)).alias("tree", "key"))
-    rows = rows.withColumn("tree", F.col("tree").cast("int")).withColumn("prefix", F.shiftright("key", 64 - 8 * min_depth))
-    member = rows.join(crowded, ["tree", "prefix"]).select("tree", "prefix", "rep", "n", "sig")
-    by_hash = Window.partitionBy("tree", "prefix").orderBy(F.xxhash64("rep"), "rep")
-    voters = member.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= VOTERS)
-    places = voters.select("tree", "prefix", F.posexplode("sig").alias("place", "value"))
-    votes = places.groupBy("tree", "prefix", "place", "value").count()
-    best = votes.groupBy("tree", "prefix", "place").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
-    ideal = best.groupBy("tree", "prefix").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("ideal"))  # sixteen entries
-    agree = F.aggregate(F.zip_with("sig", "ideal", lambda x, y: (x == y["value"]).cast("int")), F.lit(0), lambda s, x: s + x)
-    scored = member.join(ideal, ["tree", "prefix"]).select("tree", "prefix", "rep", agree.alias("score"))
+def centre_candidates(members: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Pairs (a < b) of each member of a crowded region with the region's centre, in partial aggregates only."""
+    crowded = members.where(F.col("size") > window)
+    often = crowded.groupBy("tree", "prefix", "head", "tail").agg(F.count("*").alias("n"))
+    score = crowded.join(often, ["tree", "prefix", "head", "tail"]).groupBy("rep").agg(F.sum("n").alias("score"))
+    scored = crowded.select("tree", "prefix", "rep").join(score, "rep")
     centre = scored.groupBy("tree", "prefix").agg(F.min_by("rep", F.struct(-F.col("score"), "rep")).alias("centre"))
-    # two classes of equal ids have one name
-    return member.groupBy("tree", "prefix", "rep").agg(F.sum("n").alias("n")).join(centre, ["tree", "prefix"])
-
-
-def centre_candidates(members: DataFrame) -> DataFrame:
-    """Pairs of each member of a crowded region with that region's centre."""
-    return members.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-
-
-def region_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``tree``, ``prefix``, ``x``, ``y``, ``side``, ``rep``, ``component``: members of blocks x and y of a region.
-
-    Every pair of members meets in one cell of its region, unless both are in the centre's component by ``labels``
-    (``node``, ``component``). A cell of x = y compares all its rows, others those of side 0 with those of side 1.
-    """
-    of = labels.select(F.col("node").alias("rep"), "component")
-    named = members.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    of = labels.select(F.col("node").alias("centre"), F.col("component").alias("home"))
-    named = named.join(of, "centre", "left").withColumn("hub", F.col("component") == F.coalesce("home", "centre"))
-    weight = F.col("n") + MEMBER
-    totals = named.groupBy("tree", "prefix").agg(F.sum(F.when(F.col("hub"), weight).otherwise(0)).alias("in_hub"), F.sum(F.when(F.col("hub"), 0).otherwise(weight)).alias("outside"))
-    small = F.col("in_hub") + F.col("outside") <= BLOCK
-    totals = totals.where("outside > 0").select(
-        "tree", "prefix", small.alias("small"), F.when(small, 1).otherwise(F.ceil(F.col("outside") / BLOCK)).alias("n_out"), F.when(small, 0).otherwise(F.ceil(F.col("in_hub") / BLOCK)).alias("n_hub")
-    )
-    both = named.join(totals, ["tree", "prefix"]).withColumn("hub", F.col("hub") & ~F.col("small"))
-    hashed = F.xxhash64("rep")
-    block = F.when(F.col("hub"), F.col("n_out") + F.pmod(hashed, F.greatest("n_hub", F.lit(1)))).otherwise(F.pmod(hashed, F.col("n_out")))
-    others = F.when(F.col("hub"), F.col("n_out") - 1).otherwise(F.col("n_out") + F.col("n_hub") - 1)
-    both = both.select("tree", "prefix", "rep", "component", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), others.cast("long"))).alias("other"))
-    side = (F.col("block") > F.col("other")).cast("int")
-    return both.select("tree", "prefix", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "rep", "component")
-
-
-def _cell_links(width: int, percent: float):
-    """Links of one cell, as few as connect what is linked: counts of common shingles are products of 0-1 matrices."""
-
-    def run(cell: pa.Table) -> pa.Table:
-        order = np.argsort(cell.column("side").to_numpy(), kind="stable")
-        cell = cell.take(pa.array(order))
-        rep, component, side = (cell.column(k).to_numpy() for k in ("rep", "component", "side"))
-        sets = []
-        for _, shingles, to in shingle_sets(cell.column("text").combine_chunks(), width):
-            sets += [np.unique(shingles[to[r] : to[r + 1]]) for r in range(len(to) - 1)]
-        n = np.array([len(x) for x in sets])
-        at = np.concatenate([[0], np.cumsum(n)])
-        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times[code] > 1
-        code = [code[a:b][shared[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
-        root = np.unique(component, return_inverse=True)[1].copy()
-        one = int(cell.column("x")[0].as_py()) == int(cell.column("y")[0].as_py())
-        us, vs = [], []
-
-        def dense(rows, columns, lo):
-            out = np.zeros((len(rows), COLUMNS), np.float32)
-            for k, r in enumerate(rows):
-                c = code[r]
-                place = np.searchsorted(columns, c)
-                place = place[(place < len(columns)) & (columns[np.minimum(place, len(columns) - 1)] == c)] - lo
-                out[k, place[(place >= 0) & (place < COLUMNS)]] = 1
-            return out
-
-        left = np.arange(len(sets)) if one else np.flatnonzero(side == 0)
-        right = left if one else np.flatnonzero(side == 1)
-        for a in range(0, len(left), ROWS):
-            p = left[a : a + ROWS]
-            own = np.unique(np.concatenate([code[r] for r in p]))
-            for b in range(a if one else 0, len(right), ROWS):
-                q = right[b : b + ROWS]
-                columns = np.intersect1d(own, np.concatenate([code[r] for r in q]))
-                both = np.zeros((len(p), len(q)), np.int64)
-                for lo in range(0, len(columns), COLUMNS):
-                    both += (dense(p, columns, lo) @ dense(q, columns, lo).T).astype(np.int64)
-                hit = (n[p] > 0)[:, None] & (100 * both >= percent * (n[p][:, None] + n[q][None, :] - both))
-                while True:
-                    hit &= root[p][:, None] != root[q][None, :]
-                    rows = np.flatnonzero(hit.any(axis=1))
-                    if not len(rows):
-                        break
-                    for k, c in zip(rows, hit[rows].argmax(axis=1), strict=True):
-                        u, v = p[k], q[c]
-                        if root[u] != root[v]:
-                            us.append(rep[u])
-                            vs.append(rep[v])
-                            root[root == root[v]] = root[u]
-        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    return run
-
-
-def _region_links(base: DataFrame, members: DataFrame, labels: DataFrame, width: int, percent: float, scratch: Scratch) -> DataFrame:
-    """Links (``u``, ``v``) that connect what is linked inside crowded regions and not yet connected by ``labels``."""
-    cells = scratch.keep(region_cells(members, labels), "cells")
-    asked = scratch.keep(cells.select(F.col("rep").alias("id")).distinct(), "asked")
-    texts = _map_filter(base, asked).join(asked, "id", "left_semi").distinct()  # several texts may have one id: each takes part
-    rows = cells.join(texts.withColumnRenamed("id", "rep"), "rep")
-    links = rows.groupBy("tree", "prefix", "x", "y").applyInArrow(_cell_links(width, percent), "u long, v long")
-    links = scratch.keep(links.where("u <> v").distinct(), "regions")
-    scratch.drop("cells", "asked")
-    return links
-
-
-def _agreement(left: str, right: str):
-    """Equal bytes of two classes' signatures."""
-    total = F.lit(0)
-    for k in KEYS:
-        x = F.col(f"{left}.{k}").bitwiseXOR(F.col(f"{right}.{k}"))
-        for shift in range(0, 64, 8):
-            total = total + F.when(F.shiftright(x, shift).bitwiseAND(255) == 0, 1).otherwise(0)
-    return total
+    met = crowded.select("tree", "prefix", "rep").join(centre, ["tree", "prefix"]).where("rep <> centre")
+    return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
 
 
 #: Most bits of the map of asked ids that is sent to all tasks: two million rows of sixteen bytes.
@@ -361,12 +214,38 @@ def _map_filter(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return met.where(F.col("held").bitwiseAND(bit) != 0).drop("word", "held")
 
 
+def _agreeing(least: int):
+    """Passes pairs on whose signatures agree in at least ``least`` minima."""
+
+    def run(batches):
+        for batch in batches:
+            total = np.zeros(batch.num_rows, np.int64)
+            for k in KEYS:
+                x = batch.column(f"a_{k}").to_numpy() ^ batch.column(f"b_{k}").to_numpy()
+                total += (x.view(np.uint16).reshape(-1, 4) == 0).sum(axis=1)
+            keep = pa.array(total >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: float) -> DataFrame:
+    """Candidates (distinct) whose sizes and signatures allow a link."""
+    share = percent / 100
+    least = math.floor(TREES * DEPTH * (share - 6 * math.sqrt(share * (1 - share) / (TREES * DEPTH))))
+    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), *(F.col(k).alias(f"{s}_{k}") for k in KEYS))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.where(sizes).mapInArrow(_agreeing(least), "a long, b long").distinct()
+
+
 def _confirm(width: int, percent: float):
     def sets(column):
-        out = []
-        for _, shingles, to in shingle_sets(column, width):
-            out += [np.unique(shingles[to[r] : to[r + 1]]) for r in range(len(to) - 1)]
-        return out
+        coded = column.dictionary_encode()  # one text stands in many rows
+        held = []
+        for _, shingles, to in shingle_sets(coded.dictionary, width):
+            held += [np.unique(shingles[to[r] : to[r + 1]]) for r in range(len(to) - 1)]
+        return [held[k] for k in coded.indices.to_pylist()]
 
     def run(batches):
         for batch in batches:
@@ -381,27 +260,109 @@ def _confirm(width: int, percent: float):
     return run
 
 
-def _likely(pairs: DataFrame, sig: DataFrame, percent: float) -> DataFrame:
-    """Candidates (distinct) whose sizes and signatures allow a link and that are not yet in one ``component`` of ``sig``."""
-    share = percent / 100
-    least = math.floor(TREES * DEPTH * (share - 6 * math.sqrt(share * (1 - share) / (TREES * DEPTH))))
-    both = pairs.join(sig.withColumnRenamed("rep", "a").alias("x"), "a").join(sig.withColumnRenamed("rep", "b").alias("y"), "b")
-    sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_agreement("x", "y") >= least)
-    apart = F.coalesce(F.col("x.component") != F.col("y.component"), F.lit(True))
-    return both.where(apart & sizes).select("a", "b").distinct()
+def _confirmed(texts: DataFrame, close: DataFrame, width: int, percent: float) -> DataFrame:
+    """The links (``u``, ``v``) among candidate pairs, decided on whole texts. A class with very many candidates is met in parts."""
+    close = close.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    left = texts.join(close.select(F.col("a").alias("id"), "salt").distinct(), "id").select(F.col("id").alias("a"), "salt", F.col("text").alias("text_a"))
+    both = close.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(left, ["a", "salt"])
+    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(_confirm(width, percent), "u long, v long").distinct()
 
 
-def _confirmed(base: DataFrame, close: DataFrame, width: int, percent: float, scratch: Scratch, name: str) -> DataFrame:
-    """The links (``u``, ``v``) among candidate pairs, decided on whole texts."""
-    close = scratch.keep(close, "close")
-    asked = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-    # several rows may have one id: each such text takes part
-    texts = scratch.keep(_map_filter(base, asked).join(asked, "id", "left_semi"), "texts")
-    both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(_confirm(width, percent), "u long, v long")
-    links = scratch.keep(links.distinct(), name)
-    scratch.drop("texts", "close", "asked")
-    return links
+def _crowd_sets(width: int):
+    def run(batches):
+        for batch in batches:
+            for i, shingles, to in shingle_sets(batch.column("text"), width):
+                sets = [np.unique(shingles[to[r] : to[r + 1]]).view(np.int64) for r in range(len(to) - 1)]
+                flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, len(sets)) for k in ("rep", "component")] + [pa.ListArray.from_arrays(ends, flat)], names=["rep", "component", "shingles"])
+
+    return run
+
+
+def _bucket_counts(batches):
+    """Rows, least and greatest component of each bucket of shingles that this partition holds."""
+    count, low, high = np.zeros(BUCKETS, np.int64), np.full(BUCKETS, np.iinfo(np.int64).max), np.full(BUCKETS, np.iinfo(np.int64).min)
+    for batch in batches:
+        lists = batch.column("shingles")
+        bucket = lists.flatten().to_numpy() & (BUCKETS - 1)
+        component = np.repeat(batch.column("component").to_numpy(), lists.value_lengths().to_numpy())
+        count += np.bincount(bucket, minlength=BUCKETS)
+        np.minimum.at(low, bucket, component)
+        np.maximum.at(high, bucket, component)
+    held = np.flatnonzero(count)
+    for lo in range(0, len(held), 50_000):
+        k = held[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, count[k], low[k], high[k])], names=["bucket", "n", "low", "high"])
+
+
+def _ceil(x: float) -> int:
+    return math.ceil(x - 1e-9)
+
+
+def _prefixes(rank: bytes, percent: float):
+    """The shingles on which a set can meet others: ``place`` counts from 0 in the common order; ``early`` if the other may be larger.
+
+    With n shingles and similarity p, an overlap is at least p * n, and 2 p / (1 + p) * n with a set that is not smaller,
+    so the first common shingle has at most n minus that before it.
+    """
+    ranks = np.frombuffer(rank, np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("shingles")
+            values, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            by = ranks[values & (BUCKETS - 1)]
+            picked, rows, places, early = [], [], [], []
+            for r in range(batch.num_rows):
+                own, of = values[at[r] : at[r + 1]], by[at[r] : at[r + 1]]
+                n, alone = len(own), int((of == 0).sum())
+                far = n - _ceil(percent * n / 100) + 1
+                if n and alone < far:
+                    place = np.arange(alone, min(far, n))
+                    picked.append(own[np.lexsort((own, of))[place]])
+                    places.append(place)
+                    early.append(place < n - _ceil(2 * percent * n / (100 + percent)) + 1)
+                    rows.append(np.full(len(place), r))
+            if rows:
+                row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(picked)), batch.column("rep").take(row), batch.column("component").take(row), lists.value_lengths().cast(pa.int64()).take(row), pa.array(np.concatenate(places)), pa.array(np.concatenate(early))],
+                    names=["shingle", "rep", "component", "n", "place", "early"],
+                )
+
+    return run
+
+
+def prefix_candidates(sets: DataFrame, percent: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a < b, distinct) of different components that may reach the threshold; none that reaches it is missing.
+
+    ``sets``: ``rep``, ``component``, ``shingles`` (distinct hashes). A shingle's rows meet across components only: those of its
+    most frequent component against the others, so a component of very many members that shares its shingles with a few costs
+    their product, not its square.
+    """
+    counts = sets.mapInArrow(_bucket_counts, "bucket long, n long, low long, high long").groupBy("bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    told = counts.where("n > 1 and low <> high").select("bucket", "n").toArrow()  # at most BUCKETS rows of 16 bytes
+    rank = np.zeros(BUCKETS, np.uint8)
+    rank[told["bucket"].to_numpy()] = np.minimum(255, 1 + 8 * np.log2(told["n"].to_numpy())).astype(np.uint8)
+    rows = scratch.keep(sets.mapInArrow(_prefixes(rank.tobytes(), percent), "shingle long, rep long, component long, n long, place long, early boolean"), "prefixes")
+    kinds = rows.groupBy("shingle", "component").agg(F.count("*").alias("held"))
+    major = kinds.groupBy("shingle").agg(F.max_by("component", F.struct("held", "component")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    marked = rows.join(major, "shingle")
+    side = lambda df, s: df.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "place", "early")))
+    x, y = side(marked.where("component <> major"), "x"), side(marked, "y")
+    first = F.struct("n_x", "rep_x") < F.struct("n_y", "rep_y")
+    allowed = F.when(first, F.col("early_x")).otherwise(F.col("early_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    overlap = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))  # at most, if this is their first common shingle
+    enough = (100 + percent) * overlap >= percent * (F.col("n_x") + F.col("n_y"))
+    met = x.join(y, "shingle").where((F.col("component_x") != F.col("component_y")) & (F.col("rep_x") != F.col("rep_y")) & allowed & enough)
+    return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+
+
+def _same_id(classed: DataFrame) -> DataFrame:
+    """Links between classes that rows of one id stand in."""
+    several = classed.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("most")).where("u <> most").select("id", "u")
+    return classed.join(several, "id").where("rep <> u").select("u", F.col("rep").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: float = 80, width: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -419,23 +380,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = "id long, n long, f1 long, f2 long, " + ", ".join(f"{k} long" for k in KEYS)
     marks = scratch.keep(base.mapInArrow(_fingerprint(width, "id", "text"), schema), "marks")
     named = marks.where("n > 0 and id is not null")
-    classes = scratch.keep(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), *(F.first(k).alias(k) for k in KEYS)), "classes")
-    depth = depth_for(percent)
-    pairs, crowded = forest_candidates(classes, scratch, min_depth=depth)
-    sig = classes.select("rep", "n", *KEYS, F.lit(None).cast("long").alias("component"))
-    links = None
-    if not crowded.isEmpty():
-        members = scratch.keep(crowded_members(classes, crowded, depth), "members")
-        links = _confirmed(base, _likely(centre_candidates(members), sig, percent), width, percent, scratch, "centred")
-        near = connected_components(links, Scratch(docs.sparkSession, "near-centres"))
-        links = links.union(_region_links(base, members, near, width, percent, scratch))
-        sig = scratch.keep(sig.drop("component").join(near.withColumnRenamed("node", "rep"), "rep", "left"), "labelled")
-    rest = _confirmed(base, _likely(pairs, sig, percent), width, percent, scratch, "confirmed")
-    links = links.union(rest) if links else rest
-    scratch.drop("forest", "labelled", "members", "crowded")
-    # rows of equal fingerprints, and of equal ids, belong together
-    alike = named.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    groups = connected_components(links.select("u", "v").union(alike.where("u <> v")), scratch)
-    out = marks.select("id", F.col("n").alias("n_shingles")).join(groups.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    classes = scratch.keep(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("held"), *(F.first(k).alias(k) for k in KEYS)), "classes")
+    # rows of a fingerprint meet their class over salts; a class of one row is named like it
+    salted = classes.where("held > 1").select("n", "f1", "f2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = named.select("id", "n", "f1", "f2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    classed = scratch.keep(dealt.join(salted, ["n", "f1", "f2", "salt"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "classed")
+    members = forest_members(classes, depth_for(percent), scratch)
+    close = scratch.keep(_likely(forest_candidates(members).union(centre_candidates(members)), classes, percent), "close")
+    crowd = members.where(F.col("size") > WINDOW).select("rep").distinct()
+    asked = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct(), "asked")
+    # several rows may have one id: each such text takes part
+    texts = scratch.keep(_map_filter(base.where("text is not null"), asked).join(asked, "id", "left_semi"), "texts")
+    links = scratch.keep(_confirmed(texts, close, width, percent), "confirmed")
+    groups = connected_components(links.union(_same_id(classed)), scratch)
+    if not members.where(F.col("size") > WINDOW).isEmpty():
+        known = crowd.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+        sets = scratch.keep(texts.withColumnRenamed("id", "rep").join(known, "rep").mapInArrow(_crowd_sets(width), "rep long, component long, shingles array<long>"), "sets")
+        more = scratch.keep(_likely(prefix_candidates(sets, percent, scratch), classes, percent), "more")
+        more = scratch.keep(_confirmed(texts, more, width, percent), "completed")
+        groups = connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch, "joined")
+    scratch.drop("classes", "regions", "members", "close", "asked", "texts", "confirmed", "sets", "prefixes", "more", "completed")
+    component = F.coalesce("component", "rep")
+    found = classed.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    rest = marks.where("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.union(rest)

@@ -93,13 +93,11 @@ def test_near_copies_of_one_original_are_one_group(spark):
     assert {x.id: x.component_id for x in near_duplicates(docs, percent=85).collect()} == components(rows, 85)
 
 
-def test_forest_depth_follows_the_threshold(spark, monkeypatch):
-    used, whole = [], near_dedup.forest_candidates
-    monkeypatch.setattr(near_dedup, "forest_candidates", lambda *a, **b: used.append(b.get("min_depth", 4)) or whole(*a, **b))
-    docs, _ = odd_docs(spark)
-    for percent in (80, 85):
-        near_duplicates(docs, percent=percent)
-    assert all((1 - s**d) ** 16 < 2e-5 for s, d in zip((0.80, 0.85), used, strict=True))
+def test_forest_depth_follows_the_threshold():
+    for percent in (50, 60, 80, 85, 95):
+        depth = near_dedup.depth_for(percent)
+        assert (1 - (percent / 100) ** depth) ** 16 < 2e-5 and 1 <= depth <= 4
+    assert [near_dedup.depth_for(p) for p in (50, 80, 85)] == [1, 3, 4]
 
 
 def templated(n):
@@ -116,23 +114,75 @@ def templated(n):
     return rows
 
 
-@pytest.mark.parametrize("block", [1_000_000, 60_000])
-def test_near_duplicates_of_a_template_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)  # the smaller one makes several blocks of a region
-    monkeypatch.setattr(near_dedup, "ROWS", 50)
+def test_near_duplicates_of_a_template_equal_brute_force(spark):
     rows = templated(400)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {x.id: x.component_id for x in near_duplicates(docs, percent=85).collect()} == components(rows, 85)
 
 
-def test_forest_finds_neighbours_across_partitions(spark):
-    rows = [(i, *([i // 4 * (1 << 40)] * 16)) for i in range(400)]
+def test_links_that_the_forest_misses_are_found_by_prefixes(spark, monkeypatch):
+    """Without candidates of the forest's neighbours, crowded regions are still decided exactly."""
+    monkeypatch.setattr(near_dedup, "NEAR", 0)
+    monkeypatch.setattr(near_dedup, "forest_candidates", lambda members: members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("a < b"))
+    rows = templated(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {x.id: x.component_id for x in near_duplicates(docs, percent=85).collect()} == components(rows, 85)
+
+
+def test_prefix_candidates_lose_no_pair(spark, tmp_path):
+    import random
+
+    from keystrata.llm._store import Scratch
+
+    r = random.Random(4)
+    pool, sets = list(range(1, 4000)), []
+    for i in range(150):
+        s = set(r.sample(pool, r.randrange(1, 120))) if i % 3 == 0 else {x for x in sets[-1] if r.random() < 0.93} | set(r.sample(pool, r.randrange(0, 6)))
+        sets.append(s or {1})
+    salt = 0x9E3779B97F4A7C15
+    as_hashes = lambda s: sorted((x * salt % 2**64) - 2**63 for x in s)
+    rows = [(i, i % 40, as_hashes(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "rep long, component long, shingles array<long>")
+    for percent in (50, 80, 85, 100):
+        got = {(p.a, p.b) for p in near_dedup.prefix_candidates(df.repartition(3), percent, Scratch(spark, "t")).collect()}
+        want = {(i, j) for j in range(150) for i in range(j) if i % 40 != j % 40 and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        assert want <= got and len(want) > (10 if percent < 100 else -1)
+
+
+def test_forest_pairs_all_of_a_small_region(spark):
+    rows = [(i, *([i // 4 * (1 << 40)] * 32)) for i in range(400)]
     classes = spark.createDataFrame(rows, "rep long, " + ", ".join(f"{k} long" for k in near_dedup.KEYS))
     from keystrata.llm._store import Scratch
 
-    pairs, crowded = near_dedup.forest_candidates(classes.repartition(7), Scratch(spark, "t"), window=4, min_depth=3)
-    found = {(p.a, p.b) for p in pairs.collect()}
-    assert {(i, j) for i in range(400) for j in range(i + 1, 400) if i // 4 == j // 4} <= found
+    members = near_dedup.forest_members(classes.repartition(7), 3, Scratch(spark, "t"))
+    found = {(p.a, p.b) for p in near_dedup.forest_candidates(members).collect()}
+    assert {(i, j) for i in range(400) for j in range(i + 1, 400) if i // 4 == j // 4} == found and near_dedup.centre_candidates(members).count() == 0
+
+
+def test_components(spark, monkeypatch):
+    import random
+
+    from keystrata.llm import components as cc
+    from keystrata.llm._store import Scratch
+
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + r.randrange(400), 1000 + r.randrange(400)) for _ in range(260)] + [(5, None), (7, 7), (None, None)]
+    parent = {x: x for e in edges for x in e if x is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u is not None and v is not None:
+            a, b = sorted((root(u), root(v)))
+            parent[b] = a
+    want = {x: root(x) for x in parent if root(x) != x}
+    links = spark.createDataFrame(edges, "u long, v long")
+    assert {x.node: x.component for x in cc.connected_components(links, Scratch(spark, "t")).collect()} == want
+    with_rounds = cc.connected_components(links.repartition(9), Scratch(spark, "t2"))
+    assert {x.node: x.component for x in with_rounds.collect()} == want
 
 
 def test_decontamination(spark):
