@@ -7,6 +7,7 @@ from oracle import rows_of, sql_rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from keystrata.llm import decontam as decontam_module
 from keystrata.llm import license_scan, near_dedup, tokens
 from keystrata.llm.decontam import find_contamination
 from keystrata.llm.license_scan import scan_licenses
@@ -193,7 +194,6 @@ def test_decontamination(spark):
     want = collections.Counter()
     for i, t, _ in rows:
         w, hit, named = words(t, False), set(), set()
-        joined = [tuple(w[p : p + k]) for k in range(11) for p in range(0)]
         for item, x in items:
             q = words(x, False)
             k = min(10, len(q))
@@ -202,7 +202,6 @@ def test_decontamination(spark):
                 if tuple(w[p : p + k]) in grams:
                     hit.update(range(p, p + k))
                     named |= {str(item)} if item is not None else set()
-        assert joined == []
         want[(i, len(w), len(hit), tuple(sorted(named)))] += 1
     assert got == want
     run = find_contamination(docs, bench).where("id = 5").first().matches
@@ -211,6 +210,34 @@ def test_decontamination(spark):
     assert find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_equal_words_against_an_item_that_repeats_them(spark):
+    import tracemalloc
+
+    from keystrata.llm import decontam
+
+    bench = decontam.Benchmark([1, 2], ["long " * 400, "long long"], 10)
+    tracemalloc.start()
+    found = list(decontam._hits(bench, 10, decontam.pa.array(["long " * 200_000 + "x", "short"])))
+    runs = decontam._runs(*found[0][4:], bench)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert found[0][3].tolist() == [200_000, 0] and len(runs[0]) == 2 and sorted(runs[4].tolist()) == [200_000, 200_000]
+
+
+def test_clean_rows_keep_their_columns(spark, monkeypatch):
+    docs, _ = odd_docs(spark)
+    bench = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 12))) for i in range(40)] + [(99, "Two words")], "item_id long, text string")
+    hit = {r.id for r in find_contamination(docs.drop("id").withColumnRenamed("row", "id"), bench).where("n_hit > 0").collect()}
+    clean = decontam_module.drop_contaminated(docs, bench)
+    assert clean.schema == docs.schema and hit
+    whole = sorted(map(str, clean.collect()))
+    want = find_contamination(docs, bench).where("n_hit = 0")
+    assert collections.Counter(r.doc_id for r in clean.collect()) == collections.Counter(r.id for r in want.collect())
+    monkeypatch.setattr("keystrata.llm.decontam.SLICE_BYTES", 600)
+    assert sorted(map(str, decontam_module.drop_contaminated(docs, bench).collect())) == whole
+    assert decontam_module.drop_contaminated(empty(spark), bench).count() == 0
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     docs, _ = odd_docs(spark)
     bench = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 12))) for i in range(40)] + [(99, "Two words")], "item_id long, text string")
