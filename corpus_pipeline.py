@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm._store import Scratch
-from keystrata.llm.decontam import find_contamination
+from keystrata.llm.decontam import drop_contaminated
 from keystrata.llm.mixing import curriculum, mix
 from keystrata.llm.near_dedup import near_duplicates
 from keystrata.llm.quality import judge
@@ -30,20 +30,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one whose id is the group's. Repeated rows of it count once."""
     found = near_duplicates(docs, percent=SIMILARITY_PERCENT)
     kept = found.where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    stays = docs.join(kept, "doc_id", "left_semi")
-    ties = F.min(F.struct(*COLUMNS[1:])).alias("row")
-    more = stays.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single = stays.join(more, "doc_id", "left_anti")
-    repeated = stays.join(more, "doc_id", "left_semi").groupBy("doc_id").agg(ties).select("doc_id", "row.*")
-    return single.select(COLUMNS).union(repeated.select(COLUMNS)).union(docs.where("doc_id is null").select(COLUMNS))
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return rows.select("doc_id", "row.*").union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any window of ten benchmark words go; a row is judged by itself, whatever its id."""
-    store = Scratch(spark, "clean")
-    rows = store.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
-    hit = find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row").where("n_hit > 0").select(F.col("id").alias("row"))
-    return rows.join(store.keep(hit, "hit"), "row", "left_anti").select(COLUMNS)
+    return drop_contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
