@@ -46,13 +46,26 @@ def filter_bytes(runs: DataFrame) -> DataFrame:
 
 
 def may_match(filters: DataFrame, probes: DataFrame) -> DataFrame:
-    """``run``, ``key``, ``maybe`` for each probe (``run``, ``key``): false means that the run does not hold the key."""
+    """``run``, ``key``, ``maybe`` for each probe (``run``, ``key``): false means that the run does not hold the key.
+
+    A key is hashed once, whatever the number of runs it is asked of.
+    """
     sizes = filters.select("run", "bits").distinct()
-    places = probes.join(sizes, "run").select("run", "key", F.explode(F.array_distinct(probe_bits(bloom_hash(F.col("key")), F.col("bits")))).alias("bit"))
+    hashes = probes.select("key").distinct().select("key", bloom_hash(F.col("key")).alias("h"))
+    places = probes.join(hashes, "key").join(sizes, "run").select("run", "key", F.explode(F.array_distinct(probe_bits(F.col("h"), F.col("bits")))).alias("bit"))
     hits = places.join(filters.select("run", "bit", F.lit(True).alias("hit")), ["run", "bit"], "left")
     return hits.groupBy("run", "key").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("maybe"))
 
 
+def packed_filters(filters: DataFrame) -> DataFrame:
+    """``run`` and ``data``: each run's filter as a file holds it, eight bits a byte from the lowest, the probe count last."""
+    held = filters.groupBy("run", F.floor(F.col("bit") / 8).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("byte"))
+    every = filters.select("run", "bits").distinct().select("run", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("bits") / 8 - 1).cast("long"))).alias("at"))
+    full = every.join(held, ["run", "at"], "left").select("run", "at", F.lpad(F.hex(F.coalesce("byte", F.lit(0))), 2, "0").alias("two"))
+    joined = full.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("at", "two"))).alias("bytes"))  # a filter is one value
+    return joined.select("run", F.unhex(F.concat(F.array_join(F.transform("bytes", lambda x: x["two"]), ""), F.lit(f"{PROBES:02X}"))).alias("data"))
+
+
 def pack(bits: int, set_bits: list[int]) -> bytes:
     """A filter's bytes from its set bits, for files."""
     out = bytearray(int(bits) // 8)

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 CRLF = "\r\n"
 
@@ -103,3 +104,32 @@ class RequestParser:
             at += length + 2
         self.rest = self.rest[at:]
         return words
+
+    def reset(self) -> None:
+        """Forget what is left over."""
+        self.rest = b""
+
+
+@udtf(returnType="conn_id long, req_seq long, argv array<string>, error string")
+class ParseRequests:
+    """Table function over rows (conn_id, piece, data) of one connection, in order. Words that are not UTF-8 keep U+FFFD in place."""
+
+    def __init__(self):
+        self.parser, self.n, self.closed = RequestParser(), 0, False
+
+    def eval(self, row):
+        if self.closed or row["data"] is None:
+            return
+        self.parser.rest += bytes(row["data"])
+        while True:
+            try:
+                words = self.parser._one()
+            except ProtocolError:
+                self.closed = True
+                self.parser.reset()
+                yield row["conn_id"], self.n, None, "-ERR protocol error\r\n"
+                return
+            if words is None:
+                return
+            yield row["conn_id"], self.n, [w.decode("utf-8", "replace") for w in words], None
+            self.n += 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..model import TOMBSTONE, VALUE
+from ..plans.staging import ranged
 from .visibility import live
 
 #: Commands and the number of words each takes, its own name included.
@@ -46,14 +47,38 @@ def execute(log: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     wrote = ok.where("cmd in ('SET', 'DEL')").select("conn_id", "generation", "req_seq", codec.simple(F.lit("OK")).alias("reply"))
     wrong = checked.where("said <> 'ok'").select("conn_id", "generation", "req_seq", codec.error(F.col("said")).alias("reply"))
     scans = ok.where("cmd = 'RSCAN'").select("conn_id", "generation", "req_seq", F.col("key").alias("start"))
-    hits = scans.join(states.select("key", "at", F.col("seq").alias("s"), "op", "value"), (F.col("key") >= F.col("start")) & (F.col("at") < F.col("req_seq")))
-    newest = hits.groupBy("conn_id", "generation", "req_seq", "key").agg(F.max_by(F.struct("op", "value"), F.struct("at", "s")).alias("r")).where(F.col("r.op") == VALUE)
-    body = newest.groupBy("conn_id", "generation", "req_seq").agg(F.sort_array(F.collect_list(F.struct("key", F.col("r.value").alias("value")))).alias("pairs"))
+    newest = _scan_hits(states, scans)
+    body = newest.groupBy("conn_id", "generation", "req_seq").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("pairs"))
     scanned = scans.join(body, ["conn_id", "generation", "req_seq"], "left").select("conn_id", "generation", "req_seq", codec.array(F.flatten(F.transform(F.coalesce("pairs", F.expr("cast(array() as array<struct<key:string,value:string>>)")), lambda p: F.array(p["key"], p["value"])))).alias("reply"))
     replies = got.unionByName(wrote).unionByName(wrong).unionByName(scanned)
     return log.unionByName(added), replies
 
 
+def _scan_hits(states: DataFrame, scans: DataFrame) -> DataFrame:
+    """The visible pairs of every scan: ``conn_id``, ``generation``, ``req_seq``, ``key``, ``value``; as many rows as the replies list.
+
+    A state holds from its place in the batch to the key's next one, so no state is met twice. Keys lie in range partitions,
+    and a scan meets only those whose greatest key it reaches: an equality join on the partition.
+    """
+    line = Window.partitionBy("key").orderBy("at", "seq")
+    held = states.withColumn("until", F.lead("at").over(line)).where(f"op = {VALUE} and (until is null or until > at)")
+    rows = ranged(held.select("key", "value", "at", "until"), ["key", "at"], "scans").drop("_nth")
+    tops = rows.groupBy("_part").agg(F.max("key").alias("top"))  # one row for each range partition
+    dealt = scans.crossJoin(F.broadcast(tops)).where("top >= start").select("conn_id", "generation", "req_seq", "start", "_part")
+    met = rows.join(dealt, "_part").where("key >= start and at < req_seq and (until is null or until >= req_seq)")
+    return met.select("conn_id", "generation", "req_seq", "key", "value")
+
+
+def parse_requests(pieces: DataFrame) -> DataFrame:
+    """Commands from pieces of connections' bytes (``conn_id``, ``piece``, ``data`` binary): ``conn_id``, ``req_seq``, ``argv``, ``error``.
+
+    A table function streams each connection's pieces in order and keeps only what is left over, so no connection is
+    gathered. A damaged request gives one last row with its error; the connection is closed and the rest of it ignored.
+    """
+    rows = pieces.select("conn_id", "piece", F.col("data").cast("binary").alias("data"))
+    return codec.ParseRequests(rows.asTable().partitionBy("conn_id").orderBy("piece"))
+
+
 def emittable(replies: DataFrame, done: str = "done", next_seq: int = 0) -> DataFrame:
     """Replies that may go out: the gapless finished prefix of each connection from ``next_seq`` on."""
     gaps = replies.groupBy("conn_id").agg(F.min(F.when(~F.col(done), F.col("req_seq"))).alias("gap"))

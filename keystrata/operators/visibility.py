@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import TOMBSTONE, VALUE
-from ..plans.latest import STRATEGIES, by_window
+from ..plans.latest import STRATEGIES
+from ..plans.staging import ranged
 
 
 def latest(log: DataFrame, strategy: str = "window") -> DataFrame:
@@ -25,8 +26,13 @@ def put(log: DataFrame, records: DataFrame) -> DataFrame:
     The numbering ranks the new batch only; the old log is touched for its greatest number.
     """
     top = log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top"))
-    numbered = records.withColumn("n", F.row_number().over(Window.orderBy("order")))
-    return log.unionByName(numbered.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("seq"), "key", "op", "value"))
+    numbered = global_positions(records, ["order"])
+    return log.unionByName(numbered.crossJoin(F.broadcast(top)).select((F.col("top") + 1 + F.col("pos")).alias("seq"), "key", "op", "value"))
+
+
+def erase(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The log without any record of ``keys``: a physical delete, unlike a tombstone. Null keys erase nothing."""
+    return log.join(keys.select("key"), "key", "left_anti").select(log.columns)
 
 
 def point_get(log: DataFrame, key) -> DataFrame:
@@ -50,8 +56,11 @@ def tier_get(latest_rows: DataFrame, tier: Column) -> DataFrame:
     return latest_rows.select("key", tier.alias("tier"), "op")
 
 
-def scan_from(log: DataFrame, start=None, end=None, prefix=None, limit: int | None = None) -> DataFrame:
-    """Visible pairs from a lower bound on, in key order; bounds and prefix reach the scan below the dedupe."""
+def scan_from(log: DataFrame, start=None, end=None, prefix=None, limit: int | None = None, reverse: bool = False) -> DataFrame:
+    """Visible pairs from a lower bound on, in key order; bounds and prefix reach the scan below the dedupe.
+
+    ``reverse`` goes down from the greatest key; ``limit`` takes the first pairs of that order, by partial top lists.
+    """
     rows = log
     if start is not None:
         rows = rows.where(F.col("key") >= start)
@@ -59,7 +68,7 @@ def scan_from(log: DataFrame, start=None, end=None, prefix=None, limit: int | No
         rows = rows.where(F.col("key") < end)
     if prefix is not None:
         rows = rows.where(F.startswith("key", F.lit(prefix)))
-    out = live(rows).select("key", "value").orderBy("key")
+    out = live(rows).select("key", "value").orderBy(F.col("key").desc() if reverse else F.col("key"))
     return out.limit(limit) if limit is not None else out
 
 
@@ -74,39 +83,39 @@ def scan_flat(log: DataFrame, start) -> DataFrame:
 
 
 def global_positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """``pos`` from 0 in a total order. Rows are ranked in range partitions; the counts of those are summed apart."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    """``pos`` from 0 in a total order: the place in a range partition and the counts of the partitions before it."""
+    placed = ranged(df, order, "positions")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     # one row for each range partition: bounded by the partition count whatever the data
-    return ranged.withColumn("_i", inner).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn("pos", F.col("_before") + F.col("_i") - 1).drop("_part", "_i", "_before")
+    offsets = F.broadcast(counts.select(F.col("_part").alias("_of"), before.alias("_before")))
+    return placed.join(offsets, F.col("_part") == F.col("_of"), "left").withColumn("pos", F.col("_before") + F.col("_nth")).drop("_part", "_of", "_nth", "_before")
 
 
 def seek(log: DataFrame, probes: DataFrame, probe: str = "probe") -> DataFrame:
     """Least visible key at or above each probe; null past the end.
 
-    Probes and keys are sorted together and each probe takes the next key after it: a merge, not a product. The running
-    minimum is taken in range partitions, and what lies beyond a partition comes from the partitions' first keys.
+    Probes and keys are sorted together and each probe takes the next key after it: a merge, not a product. From a range
+    partition's end a running minimum takes each row once; what lies beyond comes from the partitions' first keys.
     """
     keys = live(log).select(F.col("key").alias("k"), F.lit(1).alias("is_key"))
-    both = keys.unionByName(probes.select(F.col(probe).alias("k"), F.lit(0).alias("is_key")))
-    ranged = both.repartitionByRange("k").withColumn("_part", F.spark_partition_id())
-    ahead = Window.partitionBy("_part").orderBy("k", "is_key").rowsBetween(0, Window.unboundedFollowing)
-    near = ranged.withColumn("found", F.min(F.when(F.col("is_key") == 1, F.col("k"))).over(ahead)).where("is_key = 0")
-    firsts = ranged.groupBy("_part").agg(F.min(F.when(F.col("is_key") == 1, F.col("k"))).alias("first"))
-    later = F.min("first").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing))
-    after = F.broadcast(firsts.select("_part", later.alias("later")))  # one row for each range partition
-    return near.join(after, "_part").select(F.col("k").alias(probe), F.coalesce("found", "later").alias("found"))
+    both = ranged(keys.unionByName(probes.select(F.col(probe).alias("k"), F.lit(0).alias("is_key"))), ["k", "is_key"], "seek")
+    from_end = Window.partitionBy("_part").orderBy(F.col("_nth").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("found", F.min(F.when(F.col("is_key") == 1, F.col("k"))).over(from_end)).where("is_key = 0")
+    return near.join(_later(both.withColumn("first", F.when(F.col("is_key") == 1, F.col("k")))), "_part").select(F.col("k").alias(probe), F.coalesce("found", "later").alias("found"))
+
+
+def _later(rows: DataFrame) -> DataFrame:
+    """The least ``first`` of all partitions after each ``_part``: one row for each range partition."""
+    firsts = rows.groupBy("_part").agg(F.min("first").alias("first"))
+    return F.broadcast(firsts.select("_part", F.min("first").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)).alias("later")))
 
 
 def next_keys(log: DataFrame) -> DataFrame:
     """Each visible key with its successor, null for the last: an iterator's step, without a global window."""
-    ranged = live(log).select("key").repartitionByRange("key").withColumn("_part", F.spark_partition_id())
-    inner = F.lead("key").over(Window.partitionBy("_part").orderBy("key"))
-    firsts = ranged.groupBy("_part").agg(F.min("key").alias("first"))
-    later = F.min("first").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing))
-    return ranged.withColumn("near", inner).join(F.broadcast(firsts.select("_part", later.alias("later"))), "_part").select("key", F.coalesce("near", "later").alias("next_key"))
+    rows = ranged(live(log).select("key"), ["key"], "next")
+    inner = F.lead("key").over(Window.partitionBy("_part").orderBy("_nth"))
+    return rows.withColumn("near", inner).join(_later(rows.withColumn("first", F.col("key"))), "_part").select("key", F.coalesce("near", "later").alias("next_key"))
 
 
 def point_in_time(log: DataFrame) -> DataFrame:

@@ -21,12 +21,12 @@ def streaming_live(log: DataFrame) -> DataFrame:
 
 
 def flush_stream(log: DataFrame, keyspace: Keyspace, checkpoint: str, order: str = "seq") -> StreamingQuery:
-    """Append and flush each micro-batch; what arrived is processed, then the query ends."""
+    """Append and flush each micro-batch; what arrived is processed, then the query ends. A batch that is tried again is not appended twice."""
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        keyspace.write(batch.withColumn("order", F.col(order)).select("order", "key", "op", "value"))
+        keyspace.write(batch.withColumn("order", F.col(order)).select("order", "key", "op", "value"), (checkpoint, number))
         keyspace.flush()
 
     return log.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

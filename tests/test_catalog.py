@@ -1,9 +1,11 @@
 import pytest
 from oracle import rows_of, sql_rows
 
-from keystrata.catalog import ORACLES, QUERIES, flagship
+from keystrata import catalog, service_catalog
+from keystrata.catalog import flagship
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalog.QUERIES | service_catalog.QUERIES, catalog.ORACLES | service_catalog.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -19,10 +21,10 @@ def test_flagship(spark):
     assert flagship(spark, SF).count() > 0
 
 
-def test_filter_on_key_reaches_the_scan(spark):
+def test_filter_on_key_reaches_the_scan(spark, tmp_path):
     from keystrata.operators import visibility
 
-    spark.createDataFrame([(1, "a", 1, "x")], "seq long, key string, op int, value string").write.mode("overwrite").parquet("/tmp/keystrata_plan")
-    log = spark.read.parquet("/tmp/keystrata_plan")
+    spark.createDataFrame([(1, "a", 1, "x")], "seq long, key string, op int, value string").write.mode("overwrite").parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
     plan = visibility.scan_from(log, "a")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key,a)" in plan and "EqualTo(op" not in plan.split("PushedFilters")[1].split("]")[0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.functions import bloom, codec
-from keystrata.operators import protocol, recovery, runs, visibility
+from keystrata.operators import protocol, recovery, runs, store, visibility
 from keystrata.operators.store import Keyspace
 from keystrata.plans.latest import STRATEGIES
 from keystrata.sources import files
@@ -52,6 +52,30 @@ def test_seek_and_next_follow_byte_order(spark):
     assert {r.key: r.next_key for r in visibility.next_keys(log).collect()} == {"10": "2", "2": "9", "9": "B", "B": "a", "a": "é", "é": None}
 
 
+def test_positions_lose_no_row(spark):
+    """Wide rows, many partitions: bounds and merged partitions must not differ between two uses of one order."""
+    import bisect
+
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        n = 400_000
+        wide = spark.range(n).select((F.col("id") % 37).alias("wal_id"), F.col("id").alias("ordinal"), F.md5(F.col("id").cast("string")).alias("key"), F.lit(1).cast("byte").alias("op"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("value"))
+        assert tuple(recovery.replay(wide).agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()) == (n, n, 0, n - 1)
+        log = wide.select(F.col("ordinal").alias("seq"), "key", "op", "value")
+        assert tuple(visibility.scan_flat(log, "").agg(F.count("*"), F.count_distinct("pos"), F.max("pos")).first()) == (2 * n, 2 * n, 2 * n - 1)
+        keys = log.where("seq % 8 = 0")
+        order = sorted(r.key for r in keys.select("key").collect())
+        found = visibility.seek(keys, log.where("seq % 4 = 0").select(F.col("key").alias("probe"))).collect()
+        assert len(found) == n // 4
+        for r in found:
+            k = bisect.bisect_left(order, r.probe)
+            assert r.found == (order[k] if k < len(order) else None)
+        assert {r.key: r.next_key for r in visibility.next_keys(keys).collect()} == dict(zip(order, [*order[1:], None], strict=True))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def test_put_continues_the_sequence(spark):
     log = make_log(spark, [(7, "a", 1, "x")])
     more = spark.createDataFrame([(2, "a", 2, ""), (1, "b", 1, "y")], "order long, key string, op byte, value string")
@@ -87,7 +111,8 @@ def test_blocks_are_cut_greedily(spark):
         want.append(block)
         used += 113
     assert got == want
-    assert runs.entry_bytes(F.lit("key1"), F.lit("value1")) is not None
+    sizes = spark.createDataFrame([("key1", "value1"), ("", ""), ("é", "ü")], "k string, v string").select(runs.entry_bytes(F.col("k"), F.col("v")).alias("n"))
+    assert [r.n for r in sizes.collect()] == [19, 9, 13]
 
 
 def bloom_reference(key: bytes) -> int:
@@ -136,6 +161,27 @@ def test_parser_takes_pieces():
             codec.RequestParser().feed(bad)
 
 
+def test_requests_in_pieces(spark):
+    frame = b"*2\r\n$3\r\nGET\r\n$4\r\n\xc3\xa9\xff!\r\n"
+    rows = [(1, i, bytearray(frame[i : i + 1])) for i in range(len(frame))] + [(1, 900, None), (2, 5, bytearray(b"*1\r\n$4\r\nPING\r\n*-1\r\n")), (2, 6, bytearray(frame)), (3, 1, bytearray(b"*1\r\n"))]
+    got = protocol.parse_requests(spark.createDataFrame(rows, "conn_id long, piece long, data binary")).collect()
+    assert sorted((r.conn_id, r.req_seq, r.argv, r.error) for r in got) == [(1, 0, ["GET", "é\ufffd!"], None), (2, 0, ["PING"], None), (2, 1, None, "-ERR protocol error\r\n")]
+
+
+def test_recovery_rules(spark):
+    names = spark.createDataFrame([(x,) for x in ("3.sst", "9.sst", "12.wal", "4.wal", "a7.sst", "7.sst.tmp", ".wal", "3.sst")], "name string")
+    on_disk = recovery.numbered_files(names)
+    assert {tuple(r) for r in on_disk.collect()} == {("run", 3), ("run", 9), ("wal", 12), ("wal", 4)} and recovery.next_number_from_files(on_disk).first()[0] == 12
+    state_ = spark.createDataFrame([("run", 3, 1), ("run", 8, 0), ("run", 9, 5), ("wal", 4, None), ("wal", 6, None)], "kind string, id long, level long")
+    assert [tuple(r) for r in recovery.runs_to_open(state_, on_disk).collect()] == [(3, 1)]
+    assert sorted(map(tuple, recovery.runs_to_open(state_.where("kind = 'wal'"), on_disk).collect())) == [(3, 0), (9, 0)]
+    assert recovery.runs_to_open(state_.where("id = 8"), on_disk).count() == 0  # named but missing: no fallback
+    assert {tuple(r) for r in recovery.logs_to_replay(state_, on_disk).collect()} == {(4, True), (12, True), (6, False)}
+    proposed = spark.createDataFrame([(4, 4, None), (4, 5, None), (5, 6, None), (5, 7, None), (2, 3, 1), (3, 99, None)], "op int, id long, level long")
+    assert sorted((r.op, r.id) for r in recovery.edits_to_log(state_, proposed).collect()) == [(2, 3), (3, 99), (4, 5), (5, 6)]
+    assert recovery.next_number_from_files(recovery.numbered_files(names.limit(0))).first()[0] == 0
+
+
 def test_metadata_fold(spark):
     edits = spark.createDataFrame([(0, 2, 5, 0), (1, 2, 6, 0), (2, 3, 5, None), (3, 4, 7, None), (4, 4, 8, None), (5, 5, 7, None), (6, 1, 12, None), (7, 2, 9, 4)], "edit_seq long, op byte, id long, level long")
     state_ = recovery.valid_levels(recovery.fold_edits(edits))
@@ -146,9 +192,9 @@ def test_metadata_fold(spark):
 
 
 def test_native_logs(spark, tmp_path):
-    good = [(1, b"order", b"from_2"), (1, b"tomb", b"alive"), (2, b"", b"")]
+    good = [(1, b"city", b"Lyon"), (1, b"fruit", b"plum"), (2, b"", b"")]
     (tmp_path / "2.wal").write_bytes(b"".join(files.encode_log_record(*r) for r in good))
-    ten = b"".join(files.encode_log_record(*r) for r in [(1, b"order", b"from_10"), (2, b"tomb", b"")])
+    ten = b"".join(files.encode_log_record(*r) for r in [(1, b"city", b"Graz"), (2, b"fruit", b"")])
     bad = bytearray(files.encode_log_record(1, b"late", b"x"))
     bad[-1] ^= 1
     (tmp_path / "10.wal").write_bytes(ten + bytes(bad) + files.encode_log_record(1, b"after", b"y"))
@@ -157,7 +203,7 @@ def test_native_logs(spark, tmp_path):
     rows = files.read_native(spark, "mutation_wal", str(tmp_path))
     assert rows.count() == 5
     live = visibility.live(recovery.replay(rows)).collect()
-    assert {bytes(r.key): bytes(r.value) for r in live} == {b"order": b"from_10"}
+    assert {bytes(r.key): bytes(r.value) for r in live} == {b"city": b"Graz"}
     torn = files.encode_log_record(1, b"k", b"v")
     for cut in range(len(torn)):
         assert list(files.decode_log(torn[:cut])) == []
@@ -166,7 +212,7 @@ def test_native_logs(spark, tmp_path):
 
 
 def test_native_runs_and_metadata(spark, tmp_path):
-    records = [(f"key_{i:05d}".encode(), 2 if i % 7 == 0 else 1, b"" if i % 7 == 0 else b"v" * (i % 50)) for i in range(2000)]
+    records = [(f"row/{i:05d}".encode(), 2 if i % 7 == 0 else 1, b"" if i % 7 == 0 else b"v" * (i % 50)) for i in range(2000)]
     data = files.encode_run(records, bloom.pack(64, [1, 9]))
     (tmp_path / "4.sst").write_bytes(data)
     got = files.read_native(spark, "sorted_run", str(tmp_path)).orderBy("key").collect()
@@ -199,6 +245,15 @@ def test_keyspace(spark, tmp_path):
     again.flush()
     again.compact()
     assert again.level_size(0) == 0 and again.get("a") == "new"
+    assert again.vacuum() and again.get("a") == "new" and again.vacuum() == []
+    version, held = again._version()
+    again.write(spark.createDataFrame([(1, "c", 1, "z")], schema), ("stream", 0))
+    again.write(spark.createDataFrame([(1, "c", 1, "again")], schema), ("stream", 0))
+    assert again.get("c") == "z" and again.status()["mem_count"] == 1
+    with pytest.raises(store.Conflict):
+        again._commit(version, held)
+    again.close()
+    assert again.status()["mem_count"] == 0 and again.status()["flush_ms"] > 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
