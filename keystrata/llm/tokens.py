@@ -28,8 +28,8 @@ from ._store import Scratch
 MAGIC = b"KSTOK1\0\0"
 #: The dictionary is trained on at most this many whole documents, of at most so many UTF-8 bytes each.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICTIONARY_BYTES = 1500, 16_384, 65_536
-#: Distinct words whose ids a worker remembers before it starts afresh.
-MEMO = 300_000
+#: Distinct words whose ids a worker remembers before it starts afresh, and the most characters of a remembered one.
+MEMO, MEMO_CHARS = 300_000, 48
 
 
 def open_fs(path: str):
@@ -38,11 +38,12 @@ def open_fs(path: str):
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; those of words seen before are remembered.
+    """Ids of whole texts as the tokenizers library gives them (no special tokens added); those of words seen before are remembered.
 
     A byte-level tokenizer joins nothing across a single space or line feed between two other characters: a space
     opens the next piece, a line feed is a piece of its own. Texts are cut there, unknown words are encoded together
-    in one call and cut by their byte lengths. A text with adjacent or unusual white space is encoded in one piece.
+    in one call and cut by their byte lengths. A text with adjacent or unusual white space, or with the string of an added
+    token, is encoded in one piece, and so is every text where the tokenizer is of another kind (``cuts`` is false).
     """
 
     _feed, _head = "\0", "\1"  # mark words after a line feed, and a text's first word
@@ -54,7 +55,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        told = json.loads(self.model.to_str())
+        pieces, model = told["pre_tokenizer"] or {}, told["model"]
+        plain = not any(told[k] for k in ("normalizer", "truncation", "padding")) and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout"))
+        self.cuts = plain and model.get("type") == "BPE" and pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space", True)
+        self.added = [t["content"] for t in told["added_tokens"]]
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if max(vocab.values(), default=0) < 1 << 16 else np.dtype("<u4")
         self.byte_length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
@@ -66,7 +71,7 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _together(self, words: list[str], between: str) -> bool:
+    def _together(self, words: list[str], between: str, into: dict) -> bool:
         """Learn words that each follow one ``between``; False if any holds white space of its own."""
         text = between + between.join(words)
         if len(text.split()) != len(words):
@@ -76,17 +81,17 @@ class Encoder:
         ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == ord(between))[1:], len(raw))
         cuts = ((np.searchsorted(np.cumsum(self.byte_length[ids]), ends, "left") + 1) * self.dtype.itemsize).tolist()
         data, mark = ids.tobytes(), self._feed if between == "\n" else ""
-        self.young.update(zip(map(mark.__add__, words) if mark else words, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        into.update(zip(map(mark.__add__, words) if mark else words, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
         return True
 
-    def _learn(self, words: list[str]) -> None:
-        young, known = self.young, list(map(self.old.get, words))
-        young.update((w, ids) for w, ids in zip(words, known, strict=True) if ids is not None)
+    def _learn(self, words: list[str], into: dict) -> None:
+        known = list(map(self.old.get, words))
+        into.update((w, ids) for w, ids in zip(words, known, strict=True) if ids is not None)
         after = {" ": [], "\n": []}
         for w, ids in zip(words, known, strict=True):
             if ids is None:
                 if w[:1] == self._head:  # a text's first word: nothing stands before it
-                    young[w] = self._whole(w[1:])
+                    into[w] = self._whole(w[1:])
                 elif w[:1] == self._feed:
                     after["\n"].append(w[1:])
                 else:
@@ -94,20 +99,20 @@ class Encoder:
         for between, new in after.items():
             for lo in range(0, len(new), 8192):
                 part = new[lo : lo + 8192]
-                if not self._together(part, between):
+                if not self._together(part, between, into):
                     clean = [w for w in part if len(w.split()) == 1 and w.strip() == w]
                     mark = self._feed if between == "\n" else ""
-                    young.update((mark + w, False) for w in set(part) - set(clean))  # must not be cut out
+                    into.update((mark + w, False) for w in set(part) - set(clean))  # must not be cut out
                     if clean:
-                        self._together(clean, between)
+                        self._together(clean, between, into)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text; none for a null or empty one."""
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
-        get, cut, unknown = self.young.get, [], {}
+        get, cut, unknown, once = self.young.get, [], {}, {}
         for text in texts:
-            if not text or self._feed in text or self._head in text:
+            if not text or not self.cuts or self._feed in text or self._head in text or any(t in text for t in self.added):
                 cut.append(None)
                 continue
             words = (self._head + text).replace("\n", " " + self._feed).split(" ")
@@ -115,8 +120,9 @@ class Encoder:
             cut.append((words, got))
             unknown.update((w, None) for w, ids in zip(words, got, strict=True) if ids is None)
         if unknown:
-            self._learn(list(unknown))
-        look, out = self.young.__getitem__, []
+            self._learn([w for w in unknown if len(w) <= MEMO_CHARS], self.young)
+            self._learn([w for w in unknown if len(w) > MEMO_CHARS], once)  # long ones are not kept
+        look, out = (lambda w: once[w] if len(w) > MEMO_CHARS else self.young[w]), []
         for text, c in zip(texts, cut, strict=True):
             try:
                 out.append(b"" if not text else b"".join([look(w) if ids is None else ids for w, ids in zip(*c, strict=True)]) if c else self._whole(text))
