@@ -14,7 +14,7 @@ p AS (SELECT page_id, html, coalesce({_HOST}, '') AS host, coalesce(regexp_extra
 OP2 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
 b AS (SELECT *, list_reduce(list_concat([''], [substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', c) - 1) + 1, 4) FOR c IN string_split(x, '')]), lambda a, y: a || y) AS bits FROM d),
 e AS (SELECT *, list_reduce(list_concat([''], [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1) FOR i IN range(32)]), lambda a, y: a || y) AS payload_digest, max(page_id) OVER (PARTITION BY x) AS chief FROM b)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = chief THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> chief THEN chief END AS refers_to FROM e"""
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = chief THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> chief THEN chief END AS refers_to, CASE WHEN page_id = chief THEN TRUE END AS verified FROM e"""
 
 _QUOTED = quality.ENDINGS.replace("'", "''")
 OP3 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),

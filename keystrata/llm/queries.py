@@ -76,10 +76,13 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = fresh_folder(spark, "warc")
     write_pages(table(spark, sf_dir, "pages"), path)
-    # digests and lengths are in the headers, so no payload is decoded
-    records = read_warc(spark, path, "record_id string, record_type string, payload_digest string, refers_to string, payload_bytes long")
+    records = read_warc(spark, path, "record_id string, record_type string, payload_digest string, refers_to string, payload_bytes long, measured_bytes long, measured_digest string")
     page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
-    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    # of responses what their decoded payloads give; a revisit has headers only
+    return records.select(
+        page("record_id").alias("page_id"), F.coalesce("measured_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("measured_digest", "payload_digest").alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"), (F.col("measured_digest") == F.col("payload_digest")).alias("verified"),
+    )
 
 
 def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

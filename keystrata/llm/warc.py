@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import json
 import re
 import struct
@@ -26,8 +27,12 @@ from .tokens import open_fs
 
 #: Compressed bytes after which a new range of a file begins.
 RANGE_BYTES = 32 << 20
+#: Bytes of a member that are read to get at its headers; the rest is read only for a payload that is asked for.
+HEAD_BYTES = 4096
+#: Headers of a foreign record end within so many bytes, else the file counts as torn there.
+MOST_HEADER = 1 << 20
 _HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "payload_bytes": "X-Payload-Length"}
-SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_bytes long, content_length long, payload binary"
+SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_bytes long, content_length long, payload binary, measured_bytes long, measured_digest string"
 
 
 def _member(data: bytes) -> bytes:
@@ -61,10 +66,10 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """A file for each task; the manifest, written at commit, lists those of successful tasks only."""
+    """A file for each task; a manifest of its own for each commit lists those of successful tasks only."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = open_fs(self.path)
@@ -87,8 +92,11 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/manifest.json") as out:
+        older = _manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([m.entry for m in messages if m and m.entry]).encode())
+        for path in older:
+            fs.delete_file(path)
 
     def abort(self, messages) -> None:
         fs, root = open_fs(self.path)
@@ -97,6 +105,14 @@ class _Writer(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{m.entry['file']}")
 
 
+def _manifests(fs, root: str) -> list[str]:
+    return sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root)) if re.fullmatch(r"manifest-[0-9a-f]{32}\.json", x.base_name))
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value is not None and re.fullmatch(r"[0-9]{1,18}", value) else None
+
+
 class _Range(InputPartition):
     def __init__(self, file: str, begin: int, end: int | None):
         self.file, self.begin, self.end = file, begin, end
@@ -115,6 +131,7 @@ class _Reader(DataSourceReader):
 
     def __init__(self, path: str, columns: list[str]):
         self.path, self.columns, self.wanted = path, columns, {}
+        self.decodes = bool({"payload", "measured_bytes", "measured_digest"} & {*columns})
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
@@ -127,9 +144,11 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         fs, root = open_fs(self.path)
-        if fs.get_file_info(f"{root}/manifest.json").type != pafs.FileType.NotFound:
-            with fs.open_input_stream(f"{root}/manifest.json") as f:
-                listed = json.loads(f.read())
+        if manifests := _manifests(fs, root):
+            listed = []
+            for path in manifests:
+                with fs.open_input_stream(path) as f:
+                    listed += json.loads(f.read())
             ranges = [_Range(x["file"], a, b) for x in listed for a, b in zip(x["splits"], [*x["splits"][1:], x["bytes"]], strict=True)]
         else:
             files = fs.get_file_info(pafs.FileSelector(root))
@@ -144,14 +163,16 @@ class _Reader(DataSourceReader):
             found["payload_digest"] = found["payload_digest"].partition(":")[2]
         if any(found[c] not in values for c, values in self.wanted.items()):
             return None
-        found["payload_bytes"] = found["payload_bytes"] and int(found["payload_bytes"])
-        found["content_length"] = int(head.get("content-length", 0))
-        if "payload" in self.columns:
+        found["payload_bytes"] = _number(found["payload_bytes"])
+        found["content_length"] = _number(head.get("content-length")) or 0
+        if self.decodes and found["record_type"] != "revisit":
             data = block()
             if head.get("content-type", "").startswith("application/http"):
                 data = data.partition(b"\r\n\r\n")[2]
-            found["payload"] = data if found["record_type"] != "revisit" else None
-        return tuple(found[c] for c in self.columns)
+            found |= {"payload": data, "measured_bytes": len(data)}
+            if "measured_digest" in self.columns:
+                found["measured_digest"] = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        return tuple(found.get(c) for c in self.columns)
 
     def read(self, partition):
         if not partition.file:
@@ -164,18 +185,29 @@ class _Reader(DataSourceReader):
             yield from self._foreign(fs.open_input_stream(path, compression=None), partition.file.endswith(".gz"))
 
     def _own(self, file, at: int, end: int):
+        whole = self.decodes and not self.wanted
         while at < end:
-            size = struct.unpack("<Q", file.read_at(8, at + 16))[0]
-            body = file.read_at(size - 32, at + 24)
+            raw = file.read_at(24 + HEAD_BYTES, at)
+            size = struct.unpack("<Q", raw[16:24])[0]
+            body = raw[24 : size - 8]
+            if whole and len(body) < size - 32:
+                body += file.read_at(size - 32 - len(body), at + 24 + len(body))
             inflate = zlib.decompressobj(-15)
             text = inflate.decompress(body, 4096)
-            while b"\r\n\r\n" not in text and inflate.unconsumed_tail:
-                text += inflate.decompress(inflate.unconsumed_tail, 4096)
+            read = len(body)
+            while b"\r\n\r\n" not in text:
+                if inflate.unconsumed_tail:
+                    text += inflate.decompress(inflate.unconsumed_tail, 4096)
+                else:  # headers of more than HEAD_BYTES, compressed
+                    more = file.read_at(min(HEAD_BYTES, size - 32 - read), at + 24 + read)
+                    read += len(more)
+                    text += inflate.decompress(more, 4096)
             cut = text.index(b"\r\n\r\n")
             head = _headers(text[:cut])
 
-            def block(text=text, cut=cut, inflate=inflate, head=head):
-                whole = text[cut + 4 :] + inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
+            def block(text=text, cut=cut, inflate=inflate, head=head, read=read, at=at, size=size):
+                rest = file.read_at(size - 32 - read, at + 24 + read) if read < size - 32 else b""
+                whole = text[cut + 4 :] + inflate.decompress(inflate.unconsumed_tail + rest) + inflate.flush()
                 return whole[: int(head["content-length"])]
 
             if (row := self._row(head, block)) is not None:
@@ -188,20 +220,21 @@ class _Reader(DataSourceReader):
         while True:
             while b"\r\n\r\n" not in held.lstrip(b"\r\n"):
                 more = stream.read(1 << 16)
-                if not more:
+                if not more or len(held) > MOST_HEADER:
                     return
                 held += more
             held = held.lstrip(b"\r\n")
             text, _, held = held.partition(b"\r\n\r\n")
             head = _headers(text)
-            length, parts = int(head.get("content-length", 0)), []
-            left = length
+            left, parts = _number(head.get("content-length", "0")), []
+            if left is None:
+                return  # where the next record begins is not known
             while left > 0:
                 if not held:
                     held = stream.read(min(1 << 20, left + (1 << 12)))
                     if not held:
                         return  # a torn last record
-                if "payload" in self.columns:
+                if self.decodes:
                     parts.append(held[:left])
                 take = min(left, len(held))
                 held, left = held[take:], left - take
@@ -221,11 +254,14 @@ class WarcSource(DataSource):
         return _Reader(self.options["path"], schema.names)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    """Records of the archives below ``path``. Leave ``payload`` out of ``schema`` to skip decoding payloads.
+    """Records of the archives below ``path``. Leave ``payload`` and the measured columns out of ``schema`` to skip decoding payloads.
+
+    ``measured_bytes`` and ``measured_digest`` (base32 SHA-1) are those of the payload as it was decoded, null for a revisit. A
+    foreign file ends at a record whose headers are damaged or whose body is torn.
 
     Equality and IN predicates on header columns reach the reader; the session setting that this needs is switched on.
     """

@@ -342,6 +342,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert page_records(pages(spark)).count() == 8
     write_pages(pages(spark).limit(0), str(tmp_path / "none"))
     assert read_warc(spark, str(tmp_path / "none")).count() == 0
+    # a second append keeps the first, and long headers and large payloads are read in pieces
+    import base64
+    import hashlib
+
+    long = spark.createDataFrame([(20, "http://x.org/" + "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(400)), "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)))], "page_id long, url string, html string")
+    write_pages(long, str(tmp_path / "w"))
+    again = read_warc(spark, str(tmp_path / "w"))
+    assert again.count() == 9 and again.where("record_id = 'urn:page:20'").first().payload.decode() == long.first().html and again.where("record_id = 'urn:page:20'").first().target_uri == long.first().url
+    measured = again.where("record_type = 'response'").collect()
+    assert all(r.measured_bytes == r.payload_bytes == len(r.payload) and r.measured_digest == r.payload_digest == base64.b32encode(hashlib.sha1(r.payload).digest()).decode() for r in measured)
+    names = "record_id string, record_type string, target_uri string"
+    assert read_warc(spark, str(tmp_path / "w"), names).where("record_id in ('urn:page:20', 'urn:page:9')").count() == 2
 
 
 def test_foreign_warc(spark, tmp_path):
@@ -354,6 +366,10 @@ def test_foreign_warc(spark, tmp_path):
     rows = read_warc(spark, str(tmp_path))
     assert sorted((r.record_type, r.content_length, len(r.payload)) for r in rows.collect()) == sorted([("warcinfo", 8, 8), ("resource", 200_000, 200_000), ("metadata", 0, 0)] * 2)
     assert rows.where("record_type in ('metadata', 'warcinfo')").count() == 4
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "c.warc").write_bytes(data[0] + data[1].replace(b"200000", b"many") + data[2])
+    (tmp_path / "bad" / "d.warc").write_bytes(data[2] + b"x" * 3_000_000)
+    assert sorted(r.record_type for r in read_warc(spark, str(tmp_path / "bad")).collect()) == ["metadata", "warcinfo"]
 
 
 def test_url_rules(spark):
@@ -457,12 +473,31 @@ def test_tokens_round_trip(spark, tmp_path):
     assert tokens.read_token_shards(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_encoder_of_another_kind_gives_the_librarys_ids():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, other = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = ["Hello  World again", "ÀB c\nd <|endoftext|> e", "", "one two one"]
+    assert not other.cuts
+    for t, raw in zip(texts, other.encode(texts), strict=True):
+        assert np.frombuffer(raw, other.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_long_words():
+    fast = tokens.Encoder(default_tokenizer())
+    fast.encode(["x" * 5000 + " " + "y" * 49 + " short"])
+    assert fast.cuts and max(map(len, fast.young)) <= tokens.MEMO_CHARS and " short".strip() in fast.young
+
+
 def test_encoder_cuts_nothing_apart():
     from tokenizers import Tokenizer
 
     plain, fast = Tokenizer.from_file(default_tokenizer()), tokens.Encoder(default_tokenizer())
     import numpy as np
 
-    texts = ["", "a", " a", "a ", "a  b", "a\n b", "a \nb", "\n", "a\n", "a\n\nb", "  x  ", "é ñ  x", "don't  stop", "a\tb c\r\n d", "a  b", "a  b", "x\0y z", "a \1b", "\1a b", "a\x1c b c", "Hello, world.\nNext line!! 12 3"] * 2
+    texts = ["", "a", " a", "a ", "a  b", "a\n b", "a \nb", "\n", "a\n", "a\n\nb", "  x  ", "é ñ  x", "don't  stop", "a\tb c\r\n d", "a  b", "a  b", "x\0y z", "a \1b", "\1a b", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endof text|>", "w" * 100 + " " + "v" * 60 + "\n" + "u" * 70 + " é" * 40, "a\x1c b c", "Hello, world.\nNext line!! 12 3"] * 2
     for t, raw in zip(texts, fast.encode(texts), strict=True):
         assert np.frombuffer(raw, fast.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
