@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only when the session names no ``spark.checkpoint.dir`` (single-machine tests).
-FALLBACK_DIR = "/tmp/checkpoints"
-
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only where all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (root or f"{tempfile.gettempdir()}/keystrata-scratch").rstrip("/")
 
 
 class Scratch:
@@ -36,7 +37,3 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()
