@@ -42,9 +42,8 @@ def site_line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     text. Repeated rows and ids count as pages of their own, row by row. A host's boilerplate lines are at most
     1 / ``ratio`` times its mean number of lines, so a row of them is small; pages are dealt over ``SALTS`` parts of their host.
     """
-    base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("__url"), F.col(html_col).alias("html"))
-    host, _ = host_and_path(F.col("__url"))
-    lines = base.select("id", host.alias("host"), html_lines(F.col("html")).alias("lines"))
+    host, _ = host_and_path(F.col(url_col))
+    lines = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), html_lines(F.col(html_col)).alias("lines"))
     often = line_frequencies(lines.select("host", "lines")).where(F.col("pages") > ratio * F.col("host_pages"))
     listed = often.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
     salted = listed.select("host", "boilerplate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

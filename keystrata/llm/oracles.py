@@ -39,10 +39,11 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t JOIN c ON c.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id"""
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.BASE_RULES)
-_OWN = " OR ".join(f"contains(host, '{x}')" for x in url_filter.BLOCKED_HOST_WORDS)
-OP8 = f"""WITH {_URL}, rules(rh, rp, rv) AS (VALUES {_RULES}),
+_HOSTS = ", ".join(f"('{h}', '{p}')" for h, p, _ in url_filter.OWN_RULES if not h.startswith("~"))
+_WORDS = ", ".join(f"'{h[1:]}'" for h, _, _ in url_filter.OWN_RULES if h.startswith("~"))
+OP8 = f"""WITH {_URL}, rules(rh, rp, rv) AS (VALUES {_RULES}), own(oh, op) AS (VALUES {_HOSTS}),
 m AS (SELECT page_id, host, path, rh || rp AS rule, rv, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rh || rp) DESC, length(rh) DESC, rv DESC) AS k FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
-SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.rv, CASE WHEN {_OWN.replace("host", "p.host")} THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.host = p.host AND m.path = p.path AND m.k = 1"""
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.rv, CASE WHEN p.host <> '' AND (list_has_any(regexp_split_to_array(p.host, '[.-]'), [{_WORDS}]) OR EXISTS (SELECT 1 FROM own WHERE (oh = '' OR p.host = oh OR ends_with(p.host, '.' || oh)) AND starts_with(p.path, op))) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.host = p.host AND m.path = p.path AND m.k = 1"""
 
 OP9 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_PLAIN}) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_PLAIN}) AS w FROM benchmark),

@@ -380,6 +380,36 @@ def test_url_rules(spark):
     assert judge_urls(pages(spark), rule_table(spark).limit(0)).count() == 8
 
 
+def test_url_rules_against_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    labels = ["org", "com", "example", "a", "b-c", "spam", "x-spam", "test", "", "xxx", "Ünï"]
+    urls = [f"{r.choice(['http', '', 'HTTPS'])}://{'.'.join(r.choice(labels) for _ in range(r.randrange(0, 6)))}{r.choice(['', '/', '/es/', '/en/12', '/fr/x', '/de/', '/cgi-bin/x', '/e'])}{r.choice(['', '?q=/de/', '#://z'])}" for _ in range(400)]
+    urls += [None, "", "no scheme", "://", "a://b://c", "http://" + "w." * 30_000 + "org/x", "http://" + "spam." * 20_000 + "net", "http://x.com/" + "p" * 100_000, "http://l\nf.org/\n/x"]
+    rules = [("org", "/", "allow"), ("a.org", "/", "block"), ("a", "", "block"), ("", "/e", "block"), ("example.com", "/es/", "allow"), ("org", "/e", "block")]
+    own = [("~spam", "", "block"), ("test", "", "block"), ("", "/cgi-bin/", "block")]
+    lower = lambda t: t.translate(LOWER)
+
+    def want(url):
+        if url is None or "://" not in url:
+            return "", "", None, "allow"
+        rest = url.split("://", 1)[1]
+        host = lower(re.match(r"[^/?#]*", rest)[0])
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        under = lambda h: h == "" or host == h or host.endswith("." + h)
+        fit = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if host and under(h) and path.startswith(p)]
+        if fit:
+            return host, path, max(fit)[3], max(fit)[4]
+        mine = [v for h, p, v in own if host and (h[1:] in re.split("[.-]", host) if h.startswith("~") else under(h)) and path.startswith(p)]
+        return host, path, None, mine[0] if mine else "allow"
+
+    docs = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.id: (x.host, x.path, x.rule, x.verdict) for x in judge_urls(docs, rule_table(spark, rules, own)).collect()}
+    for i, u in enumerate(urls):
+        assert got[i] == want(u), (u or "")[:80]
+
+
 def test_url_rules_without_broadcast(spark, monkeypatch):
     whole = sorted(map(str, judge_urls(pages(spark), rule_table(spark)).collect()))
     monkeypatch.setattr("keystrata.llm.url_filter.BROADCAST_RULES", 0)
