@@ -15,10 +15,15 @@ LEAST_PAGES = 3
 SALTS = 64
 
 
+#: What a reader of the page does not see, and tags at which a line ends.
+HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+BLOCK_TAGS = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|nav|article|section|header|footer|title|body|head|html)\b[^>]*>"
+
+
 def html_lines(html: Column) -> Column:
     """Text lines of a page: scripts, styles and comments go, block tags and line feeds cut, other tags vanish."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "\n")
-    text = F.regexp_replace(text, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|nav|article|section|header|footer|title|body|head|html)\b[^>]*>", "\n")
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
+    text = F.regexp_replace(text, BLOCK_TAGS, "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != "")
 

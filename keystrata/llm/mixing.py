@@ -62,44 +62,74 @@ def position(share: Column, slope: Column) -> Column:
     return 2 * share / (a + F.sqrt(a * a + 2 * slope * share))
 
 
+def _same(left: str, right: str, *more: str) -> Column:
+    """Equal sources, null equal to null, and equal ``more``."""
+    met = F.col(f"{left}.source").eqNullSafe(F.col(f"{right}.source"))
+    for c in more:
+        met = met & (F.col(f"{left}.{c}") == F.col(f"{right}.{c}"))
+    return met
+
+
+def _fitting(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """``rows`` with ``upto``, the sum of sizes of the source up to and with the row in the order of keys, and ``room``, ``fits``.
+
+    ``room``: ``source``, ``bin``, ``room``. Rows are summed within bins, the bins' sums in a table of one row for each source and bin,
+    so a hot source is spread over its bins.
+    """
+    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.withColumn("before", before).alias("s").join(room.alias("p"), _same("s", "p", "bin")).select("s.source", "s.bin", "before", "room")
+    inner = Window.partitionBy("source", "bin").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.withColumn("upto", F.sum("size").over(inner))
+    met = within.alias("r").join(offsets.alias("o"), _same("r", "o", "bin")).select("r.*", "o.before", "o.room")
+    met = met.withColumn("upto", F.col("upto") + F.col("before")).drop("before")
+    return met.withColumn("fits", F.col("upto") <= F.col("room"))
+
+
+def _left_over(rows: DataFrame) -> DataFrame:
+    """``source``, ``bin``, ``room``: what the rows that fit leave of each source's room."""
+    bins = rows.groupBy("source", "bin").agg(F.max("room").alias("room"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("got"))
+    whole = Window.partitionBy("source")
+    return bins.select("source", "bin", (F.max("room").over(whole) - F.sum("got").over(whole)).alias("room"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``, ``weight``, ``upto``, ``key``.
 
     ``size`` counts words (null or empty text: 0); ``taken`` = ``copies`` * ``size``. A source repeats all its documents
-    as often as its target allows in whole, then the first documents of a fixed random order (a digest of id and row)
-    while they fit, then the one remaining document that comes nearest what is missing, if that brings the sum nearer.
-    ``upto`` is the sum of sizes of the source up to and with the document, in that order. Order and ties are settled by id, size
-    and a digest of the text, so reruns agree; equal rows are alike. Nulls in the source form a source of their own, last; a null id is one id.
+    as often as its target allows in whole, then the first documents of a fixed random order (a digest of id and size)
+    while they fit; of the others, those no larger than what is missing are gone through once more in the same way, and last
+    the one remaining document that comes nearest what is still missing is taken, if that brings the sum nearer.
+    ``upto`` is the sum of sizes of the source up to and with the document, in that order. Order and ties are settled by id and
+    size, so reruns agree; equal rows are alike. Nulls in the source form a source of their own, last; a null id is one id.
     A source without words has target 0 and takes nothing. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
-    key = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), word_count(F.col(text_col)).cast("string")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+    size = word_count(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string")))
+    rows = rows.withColumn("key", key)
     rows = scratch.keep(rows.withColumn("bin", F.conv(F.substring("key", 1, 2), 16, 10).cast("int")), "sizes")
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("n"))
     targets = source_targets(bins.groupBy("source").agg(F.sum("n").alias("source_size")))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = targets.withColumn("rounds", full).withColumn("rest", F.col("target") - F.col("rounds") * F.col("source_size"))
-    start = F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.withColumn("before", F.coalesce(start, F.lit(0)))
-    # one small row for each source and bin; rows meet it by both, so a hot source is spread over its bins
-    offsets = bins.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "b.bin", "before", "source_size", "weight", "target", "rounds", "rest")
-    inner = Window.partitionBy("source", "bin").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(inner))
-    rows = rows.alias("r").join(offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.bin") == F.col("o.bin"))).select("r.id", "r.source", "r.size", "r.key", "r.upto", "o.before", "o.source_size", "o.weight", "o.target", "o.rounds", "o.rest")
-    rows = rows.withColumn("upto", F.col("upto") + F.col("before")).drop("before").withColumn("fits", F.col("upto") <= F.col("rest"))
-    rows = scratch.keep(rows, "placed")
-    # the gap that whole documents leave, and the document outside that fills it best
-    gap = rows.groupBy("source").agg(F.max("rest").alias("rest"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("got"))
-    gap = gap.withColumn("gap", F.col("rest") - F.col("got")).select(F.col("source").alias("gap_source"), "gap")
-    outside = rows.where("not fits and size > 0").groupBy("source", "size").agg(F.min(F.struct("key", "id")).alias("first"))
-    filler = outside.join(gap, F.col("source").eqNullSafe(F.col("gap_source"))).where(F.abs(F.col("gap") - F.col("size")) < F.col("gap"))
-    filler = filler.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "size", "first")).alias("f"))
-    filler = filler.select(F.col("source").alias("f_source"), F.col("f.size").alias("f_size"), F.col("f.first.key").alias("f_key"), F.col("f.first.id").alias("f_id"))
-    same = F.col("source").eqNullSafe(F.col("f_source")) & (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size"))
-    # of equal rows one is the filler
-    rows = rows.join(filler, same & ~F.col("fits"), "left").withColumn("nth", F.when(F.col("f_size").isNotNull(), F.row_number().over(Window.partitionBy("source", "key", "id").orderBy("upto"))))
-    copies = F.col("rounds") + F.when(F.col("fits") | (F.col("nth") == 1), 1).otherwise(0)
+    plan = targets.withColumn("rounds", full).withColumn("room", F.col("target") - F.col("rounds") * F.col("source_size"))
+    plan = scratch.keep(bins.alias("b").join(plan.alias("p"), _same("b", "p")).select("b.source", "b.bin", "p.source_size", "p.weight", "p.target", "p.rounds", "p.room"), "plan")
+    placed = scratch.keep(_fitting(rows, plan.select("source", "bin", "room")), "placed")
+    left = _left_over(placed)
+    others = placed.where("not fits and size > 0").drop("upto", "room", "fits")
+    smaller = others.alias("r").join(left.alias("o"), _same("r", "o", "bin")).where("r.size <= o.room").select("r.*")
+    second = scratch.keep(_fitting(smaller, left), "second")
+    # what both passes leave, and the document outside that fills it best
+    got = second.where("fits").groupBy("source").agg(F.sum("size").alias("got"))
+    gap = left.groupBy("source").agg(F.max("room").alias("room")).alias("l").join(got.alias("g"), _same("l", "g"), "left").select("l.source", (F.col("room") - F.coalesce("got", F.lit(0))).alias("gap"))
+    chosen = second.where("fits").select("row")
+    outside = others.join(chosen, "row", "left_anti").groupBy("source", "size").agg(F.min(F.struct("key", "id", "row")).alias("first"))
+    filler = outside.alias("o").join(gap.alias("g"), _same("o", "g")).where(F.abs(F.col("gap") - F.col("size")) < F.col("gap"))
+    filler = filler.groupBy("o.source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "size", "first")).alias("f")).select(F.col("f.first.row").alias("row"))
+    rows = placed.alias("r").join(plan.alias("p"), _same("r", "p", "bin")).select("r.*", "p.source_size", "p.weight", "p.target", "p.rounds")
+    rows = rows.join(chosen.union(filler).withColumn("more", F.lit(True)), "row", "left")
+    copies = F.col("rounds") + F.when(F.col("fits") | F.col("more"), 1).otherwise(0)
     copies = F.when(F.col("source_size") > 0, copies).otherwise(0).cast("long")
     rows = rows.withColumn("copies", F.least(copies, F.lit(MOST)))
     return rows.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "weight", "upto", "key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, url_filter
+from . import line_dedup, mixing, quality, url_filter
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -55,4 +55,35 @@ n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(rang
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) x GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
 
-ORACLES = {"op2_warc_archive": OP2, "op3_quality_rules": OP3, "op5_near_dedup": OP5, "op8_url_filter": OP8, "op9_decontaminate": OP9}
+_TAGS = line_dedup.BLOCK_TAGS
+OP7 = f"""WITH {_URL}, t AS (SELECT page_id, host, row_number() OVER () AS r, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', chr(10), 'g'), '{_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM p),
+l AS (SELECT page_id, host, r, list_filter([trim(y, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) FOR y IN string_split(x, chr(10))], lambda y: y <> '') AS lines FROM t),
+n AS (SELECT host, count(*) AS host_pages FROM l GROUP BY host),
+c AS (SELECT host, y, count(*) AS pages FROM (SELECT host, unnest(list_distinct(lines)) AS y FROM l) x GROUP BY host, y),
+b AS (SELECT c.host, list(y) AS bad FROM c JOIN n ON n.host = c.host WHERE pages >= {line_dedup.LEAST_PAGES} AND pages > CAST({line_dedup.RATIO} AS DOUBLE) * host_pages GROUP BY c.host),
+k AS (SELECT page_id, l.host, lines, list_filter(lines, lambda y: NOT list_contains(coalesce(bad, []), y)) AS kept FROM l LEFT JOIN b ON b.host = l.host)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS kept_text FROM k"""
+
+_FIT = "coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"
+_TIME = "2 * share{0} / (1.0 - slope / 2 + sqrt((1.0 - slope / 2) * (1.0 - slope / 2) + 2 * slope * share{0}))"
+OP10 = f"""WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_SPACED})) AS BIGINT) AS size, row_number() OVER () AS r FROM documents),
+d AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || CAST(size AS VARCHAR)) AS key FROM z),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [1, 2, 3][1 + CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS INT)] AS weight, CAST(sum(source_size) OVER () AS DOUBLE) AS goal FROM s),
+v AS (SELECT *, (goal - {mixing.MOST} * CAST(coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) / CAST(sum(weight) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM w),
+h AS (SELECT lev AS level FROM v WHERE lev * weight <= {mixing.MOST} * source_size ORDER BY source_size / weight, source IS NULL, source LIMIT 1),
+t AS (SELECT source, source_size, weight, CASE WHEN coalesce(level * weight > {mixing.MOST} * source_size, TRUE) THEN CAST({mixing.MOST} * source_size AS DOUBLE) ELSE level * weight END AS target FROM v LEFT JOIN h ON TRUE),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS rounds, target - CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END * source_size AS room FROM t),
+a AS (SELECT d.*, p.source_size, p.weight, p.target, p.rounds, p.room FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+b AS (SELECT *, {_FIT} AS upto FROM a),
+l AS (SELECT source AS ls, max(room) - coalesce(sum(CASE WHEN upto <= room THEN size END), 0) AS gap FROM b GROUP BY source),
+o AS (SELECT b.*, l.gap FROM b JOIN l ON b.source IS NOT DISTINCT FROM l.ls WHERE upto > room AND size > 0),
+q AS (SELECT *, {_FIT} AS again FROM o WHERE size <= gap),
+c AS (SELECT r, source, size FROM q WHERE again <= gap),
+g AS (SELECT ls, max(gap) - coalesce(sum(c.size), 0) AS gap FROM l LEFT JOIN c ON c.source IS NOT DISTINCT FROM ls GROUP BY ls),
+f AS (SELECT r FROM (SELECT o.r, row_number() OVER (PARTITION BY o.source ORDER BY abs(g.gap - o.size), o.size, o.key, o.doc_id, o.r) AS k FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.ls WHERE o.r NOT IN (SELECT r FROM c) AND abs(g.gap - o.size) < g.gap) x WHERE k = 1),
+m AS (SELECT *, CASE WHEN source_size > 0 THEN least({mixing.MOST}, rounds + CASE WHEN upto <= room OR r IN (SELECT r FROM c) OR r IN (SELECT r FROM f) THEN 1 ELSE 0 END) ELSE 0 END AS copies, CAST(weight - 2 AS DOUBLE) * 0.5 AS slope FROM b),
+e AS (SELECT *, least(1.0, (0 * source_size + upto - size / 2) / greatest(target, 1.0)) AS share0, least(1.0, (1 * source_size + upto - size / 2) / greatest(target, 1.0)) AS share1, least(1.0, (2 * source_size + upto - size / 2) / greatest(target, 1.0)) AS share2 FROM m)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CASE WHEN copies > 0 THEN {_TIME.format(0)} END AS position, CASE WHEN copies > 1 THEN {_TIME.format(1)} END AS position_2, CASE WHEN copies > 2 THEN {_TIME.format(2)} END AS position_3 FROM e"""
+
+ORACLES = {"op2_warc_archive": OP2, "op3_quality_rules": OP3, "op5_near_dedup": OP5, "op7_site_line_dedup": OP7, "op8_url_filter": OP8, "op9_decontaminate": OP9, "op10_mix_sources": OP10}

@@ -470,6 +470,33 @@ def test_mixing(spark):
     assert placed.where("position < 0 or position > 1").count() == 0 and placed.count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def test_a_long_document_does_not_end_the_mix(spark):
+    """What is missing is at most half of the smallest document that could still be taken."""
+    rows = [(i, "w " * (90 + i % 21), "a") for i in range(200)] + [(900, "w " * 20_000, "a")] + [(1000 + i, "w " * 1000, "b") for i in range(40)]
+    for shift in range(3):  # wherever the long one stands in the order
+        got = mix(spark.createDataFrame([(i + shift * 10_000, t, s) for i, t, s in rows], "doc_id long, text string, source string")).collect()
+        for source in "ab":
+            own = [r for r in got if r.source == source]
+            least = min(r.copies for r in own)
+            left = [r.size for r in own if r.copies == least]
+            assert abs(own[0].target - sum(r.taken for r in own)) <= min(left) / 2
+
+
+def test_line_dedup_against_brute_force(spark):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + [(10**6 + i, "http://one.org/x", f"<p>top</p><p>line {i % 3}</p>") for i in range(7)] + [(1, None, "<p>top</p>"), (1, "", None)]
+    lines, hosts = [], []
+    for _, url, html in rows:
+        t = re.sub(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "\n", html or "")
+        t = re.sub(r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|nav|article|section|header|footer|title|body|head|html)\b[^>]*>", "\n", t)
+        lines.append([x for x in (y.strip(" \t\r\x0b\x0c") for y in re.sub(r"<[^>]*>", "", t).split("\n")) if x])
+        hosts.append(re.match(r"[^/?#]*", url.split("://", 1)[1])[0].translate(LOWER) if url and "://" in url else "")
+    total, pages_ = collections.Counter(hosts), collections.Counter((h, x) for h, ls in zip(hosts, lines, strict=True) for x in set(ls))
+    kept = [[x for x in ls if not (pages_[h, x] >= 3 and pages_[h, x] > 0.3 * total[h])] for h, ls in zip(hosts, lines, strict=True)]
+    want = collections.Counter((r[0], h, len(ls), len(ls) - len(k), "\n".join(k)) for r, h, ls, k in zip(rows, hosts, lines, kept, strict=True))
+    got = site_line_dedup(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert collections.Counter((r.id, r.host, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == want and sum(x[3] for x in want) > 5
+
+
 def test_mixing_query_places_every_copy(spark):
     got = entry.queries()["op10_mix_sources"](spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
