@@ -1,8 +1,9 @@
 """License detection: ordered signature rules behind a keyword prefilter.
 
-About seventy licence families times four forms (identifier tag, grant, address, name) give some hundreds of
-regular expressions. One Aho-Corasick pass over a text finds which rules' keywords occur; only those expressions run.
-Overlapping detections are settled by priority and containment.
+About seventy licence families times four forms (identifier tag, grant, address, name) and sentences from the bodies of
+licences give some hundreds of regular expressions. One Aho-Corasick pass over a text finds which literals occur; an
+expression runs only where all literals that any match of it must hold are there. Overlapping detections are settled by
+priority and containment.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ._text import PLAIN, blocks, words
 W = r"0-9a-z\x80-\U0010FFFF"
 #: Phrases whose words stand consecutively, and their labels.
 BASE = (("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved")))
-#: label | keywords of which every alternative of the name holds one | name as an expression | SPDX identifiers | address (a part of it)
+#: label | keywords, all words of one of which every alternative of the name holds | name as an expression | SPDX identifiers | address (a part of it)
 FAMILIES = r"""
 apache-2.0 | apache | apache (software )?licen[sc]e,? (version )?2(\.0)? | apache-2\.0 | apache\.org/licenses/license-2\.0
 apache-1.1 | apache | apache (software )?licen[sc]e,? (version )?1\.1 | apache-1\.1 | apache\.org/licenses/license-1\.1
@@ -68,7 +69,7 @@ w3c | w3c | w3c software (notice and )?licen[sc]e | w3c | w3\.org/consortium/leg
 unicode | unicode | unicode(,? inc\.)? licen[sc]e agreement | unicode-(dfs-2015|dfs-2016|tou) | unicode\.org/(copyright|license)
 ofl-1.1 | open font | sil open font licen[sc]e,?( version 1\.1)? | ofl-1\.[01] | scripts\.sil\.org/ofl
 unlicense | unlicense | the unlicense | unlicense | unlicense\.org
-wtfpl | what the | do what the f[a-z*]+ you want to public licen[sc]e | wtfpl | wtfpl\.net
+wtfpl | want public | do what the f[a-z*]+ you want to public licen[sc]e | wtfpl | wtfpl\.net
 beerware | beer | beer-?ware licen[sc]e | beerware | people\.freebsd\.org/~phk
 postgresql | postgresql | postgresql licen[sc]e | postgresql | opensource\.org/licenses?/postgresql
 ncsa | ncsa | (university of illinois/)?ncsa open source licen[sc]e | ncsa | otm\.illinois\.edu/.{0,30}license
@@ -110,16 +111,112 @@ GENERAL = (
 )
 
 
+#: Sentences of licence bodies: label | expression.
+BODIES = r"""
+mit | permission is hereby granted,? free of charge,? to any person obtaining a copy of (this|the) software and associated documentation
+mit | the above copyright notice and this permission notice (\(including the next paragraph\) )?shall be included in all copies or substantial portions
+mit | to deal in the software without restriction,? including without limitation the rights to use,? copy,? modify,? merge,? publish,? distribute,? sublicen[sc]e
+as-is-warranty | the software is provided "?as[ -]is"?,? without warranty of any kind
+bsd | redistributions of source code must retain the above copyright notice
+bsd | redistributions in binary form must reproduce the above copyright notice
+bsd-3-clause | neither the name of .{1,80} nor the names of (its|any) contributors may be used to endorse or promote
+bsd-4-clause | all advertising materials mentioning features or use of this software must display
+bsd | redistribution and use in source and binary forms,? with or without modification,? are permitted
+apache-2.0 | you may not use this file except in compliance with the license
+apache-2.0 | unless required by applicable law or agreed to in writing,? software distributed under the license
+apache-2.0 | subject to the terms and conditions of this license,? each contributor hereby grants to you a perpetual
+gpl | this program is free software[;:,]? (you can|and can) redistribute it and/or modify it
+lgpl | this library is free software[;:,]? you can redistribute it and/or modify it
+gpl-2.0 | either version 2 of the license,? or \(at your option\) any later version
+gpl-3.0 | either version 3 of the license,? or \(at your option\) any later version
+lgpl-2.1 | either version 2\.1 of the license,? or \(at your option\) any later version
+gpl | distributed in the hope that it will be useful,? but without any warranty[;,]? without even the implied warranty of merchantability
+gpl | you should have received a copy of the gnu general public license along with
+lgpl | you should have received a copy of the gnu lesser general public license along with
+agpl | you should have received a copy of the gnu affero general public license along with
+agpl-3.0 | your modified version must prominently offer all users interacting with it remotely
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document
+gfdl | permission is granted to copy,? distribute and/or modify this document under the terms of the gnu free documentation license
+gfdl | with no invariant sections,? no front-cover texts,? and no back-cover texts
+isc | permission to use,? copy,? modify,? (and|and/or) distribute this software for any purpose with or without fee is hereby granted
+isc | the author disclaims all warranties with regard to this software
+0bsd | permission to use,? copy,? modify,? and/or distribute this software for any purpose with or without fee is hereby granted\.
+hpnd | permission to use,? copy,? modify,? and distribute this software and its documentation for any purpose (and )?without fee is hereby granted
+postgresql | for any purpose,? without fee,? and without a written agreement is hereby granted
+mpl-2.0 | this source code form is subject to the terms of the mozilla public licen[sc]e,? v\. ?2\.0
+mpl-1.1 | the contents of this file are subject to the mozilla public licen[sc]e version 1\.1
+mpl | this source code form is "?incompatible with secondary licenses"?
+epl | this program and the accompanying materials are made available under the terms of the eclipse public license
+cddl | the contents of this file are subject to the terms of the common development and distribution license
+zlib | this software is provided '?as-is'?,? without any express or implied warranty
+zlib | the origin of this software must not be misrepresented
+zlib | altered source versions must be plainly marked as such
+bsl-1.0 | to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+unlicense | this is free and unencumbered software released into the public domain
+unlicense | anyone is free to copy,? modify,? publish,? use,? compile,? sell,? or distribute this software
+cc0-1.0 | to the extent possible under law,? .{1,80} (has|have) waived all copyright and related or neighboring rights
+cc0-1.0 | affirmer hereby overtly,? fully,? permanently,? irrevocably and unconditionally waives
+cc-by | copy and redistribute the material in any medium or format
+cc-by | you must give appropriate credit,? provide a link to the license,? and indicate if changes were made
+cc-by-sa | if you remix,? transform,? or build upon the material,? you must distribute your contributions under the same license
+cc-by-nc | you may not use the material for commercial purposes
+cc-by-nd | if you remix,? transform,? or build upon the material,? you may not distribute the modified material
+ofl-1.1 | the fonts and derivatives,? however,? cannot be released under any other type of license
+ofl-1.1 | no modified version of the font software may use the reserved font name
+artistic | you may make and give away verbatim copies of the source form of the standard version of this package
+artistic-2.0 | everyone is permitted to copy and distribute verbatim copies of this license document,? but changing it is not allowed
+wtfpl | do what the f[a-z*]+ you want to public licen[sc]e terms and conditions for copying
+beerware | as long as you retain this notice you can do whatever you want with this stuff
+python-2.0 | hereby grants licensee a nonexclusive,? royalty-free,? world-wide license to reproduce,? analyze,? test,? perform and/or display publicly
+openssl | this product includes software developed by the openssl project
+openssl | this product includes cryptographic software written by eric young
+ms-pl | each contributor grants you a non-exclusive,? worldwide,? royalty-free copyright license to reproduce its contribution
+upl-1.0 | the universal permissive license,? version 1\.0 .{0,40}subject to the condition
+sspl-1.0 | if you make the functionality of the program or a modified version available to third parties as a service
+busl-1.1 | the licensor hereby grants you the right to copy,? modify,? create derivative works,? redistribute,? and make non-production use
+elastic-2.0 | you may not provide the software to third parties as a hosted or managed service
+ncsa | neither the names of .{1,80},? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+eupl | licensed under the eupl,? version 1\.[12] or .{1,30}as soon they will be approved by the european commission
+afl-3.0 | licensed under the academic free license version 3\.0
+osl-3.0 | licensed under the open software license version 3\.0
+proprietary | unauthorized copying of this file,? via any medium,? is strictly prohibited
+proprietary | no part of this (publication|book|work) may be reproduced,? distributed,? or transmitted
+non-commercial | for personal,? non-?commercial use only
+"""
+#: Characters of the shortest run of an expression that gates it.
+LEAST_LITERAL = 5
+
+
 class Rule:
-    __slots__ = ("confidence", "keywords", "label", "pattern", "priority")
+    """``gates``: sets of literals, of which any match holds all of one; ``longest`` has the longest literal of each."""
+
+    __slots__ = ("confidence", "gates", "label", "longest", "pattern", "priority")
 
     def __init__(self, label, keywords, pattern, priority, confidence):
         body = pattern.replace(" ", r"\s+")
         self.label, self.priority, self.confidence = label, priority, confidence
-        self.keywords = tuple(k.split(" ")[0] for k in keywords.split(", "))  # words of an expression may be any white space apart
+        held = _literals(body)
+        # words of an expression may be any white space apart, so they are literals of their own
+        self.gates = tuple(held | frozenset(k.split()) for k in keywords.split(", "))
+        self.longest = tuple(max(sorted(g), key=len) for g in self.gates)
         self.pattern = re.compile(f"(?<![{W}])(?:{body})(?![{W}])")
 
 
+def _literals(body: str) -> frozenset[str]:
+    """The runs of at least ``LEAST_LITERAL`` characters that every match holds."""
+    from re import _constants as c
+    from re import _parser
+
+    found, run = set(), ""
+    for op, arg in [*_parser.parse(body), (None, None)]:
+        if op is c.LITERAL:
+            run += chr(arg)
+        else:
+            found |= {run} if len(run) >= LEAST_LITERAL else set()
+            run = ""
+    return frozenset(found)
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All rules, most binding first: tag (4), grant (3), address (3), name (2), general expressions (0 to 2)."""
@@ -127,29 +224,32 @@ def rules() -> tuple[Rule, ...]:
     for line in FAMILIES.strip().splitlines():
         label, keywords, name, tag, address = (x.strip() for x in line.split(" | "))
         made += [
-            Rule(label, "spdx", f"spdx-license-identifier: ?(?:{tag})", 4, 1.0),
+            Rule(label, "", f"spdx-license-identifier: ?(?:{tag})", 4, 1.0),
             Rule(label, keywords, f"(?:licen[sc]ed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?(?:{name})", 3, 0.95),
-            Rule(label, re.split(r"[\\/({?]", address)[0], f"(?:https?://)?(?:www\\.)?{address}", 3, 0.9),
+            Rule(label, "", f"(?:https?://)?(?:www\\.)?{address}", 3, 0.9),
             Rule(label, keywords, f"(?:{name})", 2, 0.8),
         ]
+    for line in BODIES.strip().splitlines():
+        label, body = (x.strip() for x in line.split(" | "))
+        made.append(Rule(label, "", body, 3, 0.9))
     made += [Rule(*x) for x in GENERAL]
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
 @functools.cache
 def prefilter():
-    """Automaton from keyword to the numbers of its rules."""
+    """Automaton over all literals, and the numbers of the rules that each literal, as the longest of a gate, brings up."""
     import ahocorasick
 
-    by: dict[str, list[int]] = {}
+    by: dict[str, set[int]] = {}
     for k, r in enumerate(rules()):
-        for keyword in r.keywords:
-            by.setdefault(keyword, []).append(k)
+        for word in r.longest:
+            by.setdefault(word, set()).add(k)
     automaton = ahocorasick.Automaton()
-    for keyword, numbers in by.items():
-        automaton.add_word(keyword, tuple(numbers))
+    for word in frozenset().union(*(g for r in rules() for g in r.gates)):
+        automaton.add_word(word, word)
     automaton.make_automaton()
-    return automaton
+    return automaton, by
 
 
 def resolve(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
@@ -168,10 +268,10 @@ def resolve(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, in
 
 def detect(text: str) -> list[tuple[int, int, int, str, float]]:
     """Detections in a text whose A-Z are lower-cased."""
-    live: set[int] = set()
-    for _, numbers in prefilter().iter(text):
-        live.update(numbers)
+    automaton, by = prefilter()
+    held = {word for _, word in automaton.iter(text)}
     all_rules = rules()
+    live = {k for word in held for k in by.get(word, ()) if any(g <= held for g in all_rules[k].gates)}
     return resolve([(m.start(), m.end(), r.priority, r.label, r.confidence) for k in live if (r := all_rules[k]) for m in r.pattern.finditer(text)])
 
 

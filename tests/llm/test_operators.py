@@ -324,6 +324,24 @@ def test_license_prefilter_drops_nothing():
     assert "cc-by-4.0" in [x[3] for x in license_scan.detect(texts[0])] and "libpng" in [x[3] for x in license_scan.detect(texts[1])]
 
 
+def test_license_query_against_brute_force(spark):
+    phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+    every = license_scan.rules()
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in rows] + [(10**6 + i, t) for i, t in enumerate(["CC, by/CC by", "general public license", "all rights  RESERVED all rights reserved", "cc\xe9 by cc by2 ccby", "Redistributions in binary form must reproduce the above copyright notice, cc by", "x all rights reserved " * 3000])]
+    got = {r.doc_id: r for r in entry.queries()["op1_license_scan"](spark, SF).collect()}
+    got |= {r.id: r for r in scan_licenses(spark.createDataFrame(rows[-6:], "doc_id long, text string")).collect()}
+    for i, text in rows:
+        w = words(text, False)
+        places = sorted((p, label) for label, q in phrases.items() for p in range(len(w)) if w[p : p + len(q)] == q)
+        lowered = (text or "").translate(LOWER)
+        found = license_scan.resolve([(m.start(), m.end(), x.priority, x.label, x.confidence) for x in every for m in x.pattern.finditer(lowered)] if len(lowered) < 20_000 else license_scan.detect(lowered))
+        base = {label for _, label in places}
+        want = (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | {x[3] for x in found})))
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want and 0 <= r.score <= 1 and (r.score > 0) == bool(want[5])
+
+
 def pages(spark):
     rows = [(1, "http://A.example.com/en/1?x=1", "<p>same</p>"), (5, "https://b.org/", "<p>same</p>"), (3, None, None), (4, "no scheme", ""), (7, "http://spam-farm.example.net", "x\r\n\r\ny"), (None, "http://h/\r\nX: y", "<p>same</p>"), (5, "https://b.org/", "<p>same</p>"), (9, "://x.fr#a", "z" * 300_000)]
     return spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "page_id long, url string, html string, host string, digest long, salt int")
