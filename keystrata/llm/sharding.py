@@ -35,11 +35,13 @@ def _lookup(values: list[int], index: Column) -> Column:
     return F.get(F.array(*(F.lit(v).cast("long") for v in values)), index.cast("int"))
 
 
-def propagate(members: DataFrame, capacity: list[int], store: Scratch, rounds: int = 3) -> DataFrame:
+def propagate(members: DataFrame, capacity: list[int], store: Scratch, rounds: int = 8) -> DataFrame:
     """``row``, ``group``, ``shard`` for the rows of ``members`` (``row``, ``group``): linked rows drawn together.
 
-    Each round counts every group's rows by shard (a partial aggregate), lets each row wish for the shard where most
-    rows of its group are, and grants wishes in a fixed order up to the shard's free places. Ends early when nothing moves.
+    Each round counts every group's rows by shard (a partial aggregate). A group wishes for the shard that holds most of
+    its rows among those with places free for the others, or for the emptiest shard if it fits there only; a group that fits
+    nowhere wishes for the shard with any free place that holds most of it. Wishes are granted in a fixed order up to the shards' free
+    places. Ends when nothing moves, so no group is cut that one round could have made whole.
     """
     n_shards = len(capacity)
     now = store.keep(members.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int")), "labels0")
@@ -48,20 +50,32 @@ def propagate(members: DataFrame, capacity: list[int], store: Scratch, rounds: i
         held = {r.shard: r.n for r in now.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
         free = [max(0, c - held.get(s, 0)) for s, c in enumerate(capacity)]
         votes = now.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        best = votes.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("b")).select("group", F.col("b.shard").alias("wish"))
+        emptiest = F.struct(F.lit(max(range(n_shards), key=free.__getitem__)).alias("shard"), F.lit(0).cast("long").alias("n"))
+        sums = votes.groupBy("group").agg(F.sum("n").alias("rows"), F.collect_list(F.struct("shard", "n")).alias("at"))  # at most one entry a shard
+        choice = sums.select("group", "rows", F.explode(F.concat("at", F.array(emptiest))).alias("c")).select("group", "rows", "c.shard", "c.n")
+        room = _lookup(free, F.col("shard"))
+        rank = F.struct((room >= F.col("rows") - F.col("n")).alias("whole"), (room > 0).alias("some"), "n", F.xxhash64("group", "shard").alias("tie"), "shard")
+        best = choice.groupBy("group").agg(F.max(rank).alias("b")).select("group", F.col("b.shard").alias("wish"))
         best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         wishes = now.withColumn("salt", F.pmod(F.xxhash64("row", "group"), F.lit(SALTS)).cast("int")).join(best, ["group", "salt"]).drop("salt")
         moving = ranked(wishes.where("wish <> shard"), F.col("wish"), total, [F.col("group"), F.col("row")], F.xxhash64("group", F.pmod(F.xxhash64("row"), F.lit(SALTS))), "place")
-        moved = moving.select("row", "group", F.when(F.col("place") < _lookup(free, F.col("wish")), F.col("wish")).otherwise(F.col("shard")).alias("shard"), (F.col("place") < _lookup(free, F.col("wish"))).alias("moves"))
+        granted = F.col("place") < _lookup(free, F.col("wish"))
+        moved = moving.select("row", "group", F.when(granted, F.col("wish")).otherwise(F.col("shard")).alias("shard"), granted.alias("moves"))
         stay = wishes.where("wish = shard").select("row", "group", "shard", F.lit(False).alias("moves"))
         now = store.keep(moved.union(stay), f"labels{k}")
         store.drop(f"labels{k - 1}")
-        if not now.where("moves").limit(1).count():
+        if now.where("moves").isEmpty():
             break
     return now.select("row", "group", "shard")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, scratch: Scratch | None = None) -> DataFrame:
+def cut_edges(placed: DataFrame, group: str = "group", shard: str = "shard") -> DataFrame:
+    """One row: ``edges``, the links of a path through each group, and ``cut``, the fewest of them that any path must cut."""
+    each = placed.groupBy(group, shard).agg(F.count("*").alias("n")).groupBy(group).agg(F.sum("n").alias("n"), F.count("*").alias("shards"))
+    return each.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.col("shards") - 1), F.lit(0)).alias("cut"))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``size``, ``text_crc32``, ``group_rows``, ``shard``, ``slot``.
 
     Law ``rows``: shards differ by one row at most. Documents with equal texts (null as empty) are linked. Groups of

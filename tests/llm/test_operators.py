@@ -455,11 +455,31 @@ def test_shards_are_even_and_keep_groups(spark):
     for r in got:
         if r.id is not None and 100 <= r.id < 500:
             homes[r.id % 40].add(r.shard)
-    assert sum(len(h) == 1 for h in homes.values()) >= 30
+    assert all(len(h) == 1 for h in homes.values())  # every group that fits a shard is whole, also beside the hot one
     assert shard_documents(empty(spark)).count() == 0
     assert max(collections.Counter(r.shard for r in shard_documents(docs).collect()).values()) == 2
 
 
+def test_shards_of_the_documents_cut_few_links(spark):
+    """Against brute force on the whole table: laws, sizes, digests, and the fewest links cut that capacity allows."""
+    from keystrata.llm.sharding import cut_edges
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed = entry.queries()["op6_shard_documents"](spark, SF)
+    got = {r.doc_id: r for r in placed.collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    groups = collections.defaultdict(list)
+    for i, t in texts.items():
+        assert (got[i].size, got[i].text_crc32, got[i].law, got[i].grown_shard) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "rows", None)
+        groups[t].append(got[i])
+    most = -(-len(texts) // 16)
+    cut = sum(len({r.shard for r in g}) - 1 for g in groups.values())
+    assert cut == sum(-(-len(g) // most) - 1 for g in groups.values()) and all(r.group_rows == len(g) for g in groups.values() for r in g)
+    told = cut_edges(placed.join(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("group")), "doc_id")).first()
+    assert (told.edges, told.cut) == (len(texts) - len(groups), cut)
+
+
 def test_mixing(spark):
     docs, rows = odd_docs(spark)
     got = mix(docs).collect()
