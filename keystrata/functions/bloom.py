@@ -72,3 +72,35 @@ def pack(bits: int, set_bits: list[int]) -> bytes:
     for b in set_bits:
         out[b // 8] |= 1 << (b % 8)
     return bytes(out) + bytes([PROBES])
+
+
+def hash_bytes(key: bytes) -> int:
+    """``bloom_hash`` of one key, for readers and writers of files."""
+    h = SEED ^ (len(key) & MASK)
+    for b in key:
+        h = ((h ^ (b if b < 128 else b + (MASK - 255))) * FACTOR) & MASK
+        h ^= h >> 15
+    return h
+
+
+def _places(h: int, bits: int) -> list[int]:
+    delta = ((h >> 17) | (h << 15)) & MASK
+    return [((h + j * delta) & MASK) % bits for j in range(PROBES)]
+
+
+def pack_hashes(hashes: list[int]) -> bytes:
+    """A filter's bytes for the keys of these hashes."""
+    bits = (max(len(hashes) * BITS_PER_KEY, LEAST_BITS) + 7) // 8 * 8
+    out = bytearray(bits // 8)
+    for h in hashes:
+        for b in _places(h, bits):
+            out[b // 8] |= 1 << (b % 8)
+    return bytes(out) + bytes([PROBES])
+
+
+def may_hold(data: bytes, key: bytes) -> bool:
+    """Whether a packed filter may hold ``key``; one of fewer than two bytes holds nothing."""
+    if len(data) < 2:
+        return False
+    bits = (len(data) - 1) * 8
+    return all(data[b // 8] >> (b % 8) & 1 for b in _places(hash_bytes(key), bits)[: data[-1]])

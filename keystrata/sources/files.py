@@ -2,22 +2,29 @@
 
 All integers are little-endian. Log record: crc32 of the payload, then the payload: type byte, key length, key, value
 length, value. Run file: data blocks, filter block, index block, 40-byte footer. Metadata: a snapshot and an edit log.
-One input partition for each file; a damaged or torn tail ends a log's records without failing.
+Logs stream, and a damaged or torn tail ends a log's records without failing. Runs are read block by block: predicates on the key
+pass the filter, then the index, and only blocks that can hold a match are read; large runs are cut into ranges of blocks.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ..model import BLOCK_BYTES
+from ..functions import bloom
+from ..model import ADD_RUN, ADD_WAL, BLOCK_BYTES, CHECKPOINT_EDITS, DROP_RUN, DROP_WAL
 
+#: Bytes that a log's reader takes at a time, and data bytes of a run that one task reads.
+CHUNK, RANGE_BYTES = 1 << 20, 64 << 20
 RUN_MAGIC = 0xDEADC0DEFA112026
 META_MAGIC, META_VERSION = 0x12345678, 1
 
@@ -32,19 +39,38 @@ def encode_log_record(op: int, key: bytes, value: bytes) -> bytes:
 
 
 def decode_log(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """Records up to the first that is torn or fails its checksum; lengths are checked before anything is read."""
-    at, size = 0, len(data)
-    while at + 9 <= size:
-        crc, op, klen = struct.unpack_from("<IBI", data, at)
-        v = at + 9 + klen
-        if v + 4 > size:
+    """Records up to the first that is torn or fails its checksum."""
+    yield from stream_log(iter([data]), len(data))
+
+
+def stream_log(chunks: Iterator[bytes], size: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Records of a log of ``size`` bytes that comes in pieces; lengths are checked before anything is read for them."""
+    held, at = b"", 0  # ``at``: place in the log of the first byte held
+
+    def have(n: int) -> bool:
+        nonlocal held
+        if at + n > size:
+            return False
+        parts, got = [held], len(held)
+        while got < n:
+            more = next(chunks, b"")
+            if not more:
+                return False
+            parts.append(more)
+            got += len(more)
+        held = b"".join(parts) if len(parts) > 1 else held
+        return True
+
+    while have(9):
+        crc, op, klen = struct.unpack_from("<IBI", held)
+        if not have(13 + klen):
             return
-        (vlen,) = struct.unpack_from("<I", data, v)
-        end = v + 4 + vlen
-        if end > size or zlib.crc32(data[at + 4 : end]) != crc:
+        (vlen,) = struct.unpack_from("<I", held, 9 + klen)
+        end = 13 + klen + vlen
+        if not have(end) or zlib.crc32(memoryview(held)[4:end]) != crc:
             return
-        yield op, data[at + 9 : v], data[v + 4 : end]
-        at = end
+        yield op, held[9 : 9 + klen], held[13 + klen : end]
+        held, at = held[end:], at + end
 
 
 def _entry(key: bytes, op: int, value: bytes) -> bytes:
@@ -65,24 +91,41 @@ def _entries(data: bytes) -> Iterator[tuple[bytes, int, bytes]]:
         at = head + 5 + vlen
 
 
-def encode_run(records: list[tuple[bytes, int, bytes]], bloom: bytes = b"") -> bytes:
-    """A run file from (key, op, value) in key order; a block closes once it has reached its size."""
-    out, index, block, last = bytearray(), bytearray(), bytearray(), b""
+class RunBuilder:
+    """Writes a run file as records come in key order; a block closes once it has reached its size. Keeps keys' hashes and the index only."""
 
-    def close():
-        index.extend(_entry(last, 1, struct.pack("<QQ", len(out), len(block))))
-        out.extend(block)
-        block.clear()
+    def __init__(self, write: Callable[[bytes], object]):
+        self.write, self.at, self.index, self.block, self.last, self.hashes = write, 0, bytearray(), bytearray(), b"", []
 
-    for key, op, value in records:
-        if len(block) >= BLOCK_BYTES:
-            close()
-        block += _entry(key, op, value)
-        last = key
-    if block:
-        close()
-    filter_at, index_at = len(out), len(out) + len(bloom)
-    return bytes(out) + bloom + bytes(index) + struct.pack("<QQQQQ", index_at, len(index), filter_at, len(bloom), RUN_MAGIC)
+    def _close(self) -> None:
+        self.index += _entry(self.last, 1, struct.pack("<QQ", self.at, len(self.block)))
+        self.write(bytes(self.block))
+        self.at += len(self.block)
+        self.block.clear()
+
+    def add(self, key: bytes, op: int, value: bytes) -> None:
+        if len(self.block) >= BLOCK_BYTES:
+            self._close()
+        self.block += _entry(key, op, value)
+        self.last = key
+        self.hashes.append(bloom.hash_bytes(key))
+
+    def finish(self, filter_data: bytes | None = None) -> None:
+        """Filter (that of the keys unless given), index and footer."""
+        if self.block:
+            self._close()
+        data = bloom.pack_hashes(self.hashes) if filter_data is None else filter_data
+        self.write(data + bytes(self.index) + struct.pack("<QQQQQ", self.at + len(data), len(self.index), self.at, len(data), RUN_MAGIC))
+
+
+def encode_run(records: list[tuple[bytes, int, bytes]], filter_data: bytes | None = None) -> bytes:
+    """A run file from (key, op, value) in key order."""
+    out: list[bytes] = []
+    builder = RunBuilder(out.append)
+    for r in records:
+        builder.add(*r)
+    builder.finish(filter_data)
+    return b"".join(out)
 
 
 def decode_footer(data: bytes) -> tuple[int, int, int, int]:
@@ -94,8 +137,12 @@ def decode_footer(data: bytes) -> tuple[int, int, int, int]:
 
 def decode_index(data: bytes) -> list[tuple[bytes, int, int]]:
     at, size, _, _ = decode_footer(data)
-    rows = [(k, *struct.unpack("<QQ", v)) for k, _, v in _entries(data[at : at + size]) if len(v) == 16]
-    if not rows or any(o + n > len(data) for _, o, n in rows):
+    return _index(data[at : at + size], len(data))
+
+
+def _index(data: bytes, size: int) -> list[tuple[bytes, int, int]]:
+    rows = [(k, *struct.unpack("<QQ", v)) for k, _, v in _entries(data) if len(v) == 16]
+    if not rows or any(o + n > size for _, o, n in rows):
         raise ValueError("a run needs an index within the file")
     return rows
 
@@ -137,48 +184,186 @@ def decode_snapshot(data: bytes) -> tuple[int, dict[int, int], list[int]]:
         raise ValueError("short snapshot") from None
 
 
+class RunFile:
+    """Random access to one run: footer and index at opening, filter and blocks when asked for."""
+
+    def __init__(self, file):
+        self.file, size = file, file.size()
+        tail = file.read_at(min(40, size), max(0, size - 40))
+        at, n, self.filter_at, self.filter_size = decode_footer(tail)
+        if at + n > size or self.filter_at + self.filter_size > size:
+            raise ValueError("a run's index and filter lie within the file")
+        self.index = _index(file.read_at(n, at), size)
+        self.last_keys = [k for k, _, _ in self.index]
+
+    def filter(self) -> bytes:
+        return self.file.read_at(self.filter_size, self.filter_at) if self.filter_size else b""
+
+    def block(self, k: int) -> Iterator[tuple[bytes, int, bytes]]:
+        _, at, n = self.index[k]
+        yield from _entries(self.file.read_at(n, at))
+
+    def find(self, keys: set[bytes]) -> Iterator[tuple[bytes, int, bytes]]:
+        """Records of ``keys``: filter, then index, then the one block that can hold each. A run without filter passes all."""
+        data = self.filter()
+        wanted: dict[int, set[bytes]] = {}
+        for key in keys:
+            if not data or bloom.may_hold(data, key):
+                wanted.setdefault(bisect.bisect_left(self.last_keys, key), set()).add(key)
+        for k in sorted(wanted):
+            if k < len(self.index):
+                yield from (r for r in self.block(k) if r[0] in wanted[k])
+
+    def scan(self, low: bytes | None, high: bytes | None, part: int, parts: int) -> Iterator[tuple[bytes, int, bytes]]:
+        """Records of the blocks that may hold keys from ``low`` to ``high``, both included; the ``part``-th share of the data."""
+        first = bisect.bisect_left(self.last_keys, low) if low is not None else 0
+        last = min(bisect.bisect_left(self.last_keys, high), len(self.index) - 1) if high is not None else len(self.index) - 1
+        for k in range(first, last + 1):
+            if self.index[k][1] * parts // max(1, self.filter_at) == part:
+                yield from self.block(k)
+
+
 class _File(InputPartition):
-    def __init__(self, path: str, number: int):
-        self.path, self.number = path, number
+    def __init__(self, path: str, number: int, part: int = 0, parts: int = 1):
+        self.path, self.number, self.part, self.parts = path, number, part, parts
 
 
 class _Files(DataSourceReader):
-    """One partition for each file ``<number><suffix>`` of a folder, in numeric order; other names are ignored."""
+    """Files ``<number><suffix>`` of a folder, in numeric order; other names are ignored."""
 
-    def __init__(self, folder: str, suffix: str, rows):
-        self.folder, self.suffix, self.rows = folder, suffix, rows
+    def __init__(self, folder: str, suffix: str):
+        self.folder, self.suffix = folder, suffix
 
-    def partitions(self):
+    def listed(self):
+        """(number, path, bytes) of each file."""
         fs, root = open_fs(self.folder)
-        names = [x.base_name for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))]
-        numbers = sorted(int(m[1]) for x in names if (m := re.fullmatch(rf"(\d+){re.escape(self.suffix)}", x)))
-        return [_File(f"{root}/{n}{self.suffix}", n) for n in numbers] or [_File("", 0)]
+        found = [(m, x) for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if (m := re.fullmatch(rf"(\d+){re.escape(self.suffix)}", x.base_name))]
+        return sorted((int(m[1]), x.path, x.size) for m, x in found)
+
+    def partitions(self):
+        return [_File(path, n) for n, path, _ in self.listed()] or [_File("", 0)]
+
+
+class _LogReader(_Files):
+    """One partition for each log: its records' checksums hold in order only."""
 
     def read(self, partition):
         if partition.path:
             fs, _ = open_fs(self.folder)
+            size = fs.get_file_info(partition.path).size
             with fs.open_input_stream(partition.path, compression=None) as f:
-                yield from self.rows(partition.number, f.read())
+                for k, (op, key, value) in enumerate(stream_log(iter(lambda: f.read(CHUNK), b""), size)):
+                    yield partition.number, k, op, key, value
+
+
+class _RunReader(_Files):
+    """Equality and IN on the key are answered by filter, index and single blocks; bounds choose blocks and are checked again by Spark."""
+
+    def __init__(self, folder: str, what: str, range_bytes: int):
+        super().__init__(folder, ".sst")
+        self.what, self.range_bytes, self.keys, self.low, self.high = what, range_bytes, None, None, None
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if self.what != "records" or getattr(f, "attribute", None) != ("key",):
+                yield f
+            elif isinstance(f, (EqualTo, In)):
+                keys = {bytes(v) for v in ((f.value,) if isinstance(f, EqualTo) else f.value) if v is not None}
+                self.keys = keys if self.keys is None else self.keys & keys
+            else:
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low or b"", bytes(f.value))
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.high = min(bytes(f.value), self.high) if self.high is not None else bytes(f.value)
+                yield f
 
+    def partitions(self):
+        cut = self.what == "records" and self.keys is None
+        out = [_File(path, n, k, parts) for n, path, size in self.listed() for parts in [max(1, -(-size // self.range_bytes)) if cut else 1] for k in range(parts)]
+        return out or [_File("", 0)]
 
-def _log_rows(number, data):
-    for k, (op, key, value) in enumerate(decode_log(data)):
-        yield number, k, op, key, value
+    def read(self, partition):
+        if not partition.path:
+            return
+        fs, _ = open_fs(self.folder)
+        with fs.open_input_file(partition.path) as f:
+            run, n = RunFile(f), partition.number
+            if self.what == "index":
+                yield from ((n, k, key, at, size) for k, (key, at, size) in enumerate(run.index))
+            elif self.what == "filter":
+                yield n, run.filter()
+            else:
+                found = run.find(self.keys) if self.keys is not None else run.scan(self.low, self.high, partition.part, partition.parts)
+                yield from ((n, *r) for r in found)
 
 
-def _run_rows(number, data):
-    for _, at, size in decode_index(data):
-        for key, op, value in _entries(data[at : at + size]):
-            yield number, key, op, value
+class _Made(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
 
 
-def _index_rows(number, data):
-    for k, (key, at, size) in enumerate(decode_index(data)):
-        yield number, k, key, at, size
+class _Writer(DataSourceWriter):
+    """A file for each number, written under another name by one task and renamed at commit, so a lost attempt leaves no file."""
+
+    def __init__(self, folder: str, suffix: str):
+        self.folder, self.suffix = folder, suffix
+
+    def write(self, iterator):
+        fs, root = open_fs(self.folder)
+        fs.create_dir(root, recursive=True)
+        made, number, out, add = [], None, None, None
+
+        def close():
+            if out is not None:
+                add(None)
+                out.close()
+
+        for row in iterator:
+            if row[0] != number:
+                close()
+                number = row[0]
+                name = f"{root}/.{uuid.uuid4().hex}"
+                out = fs.open_output_stream(name, compression=None)
+                made.append((name, f"{root}/{number}{self.suffix}"))
+                add = self._start(out)
+            add(row)
+        close()
+        return _Made(made)
+
+    def _start(self, out):
+        raise NotImplementedError
+
+    def commit(self, messages):
+        fs, _ = open_fs(self.folder)
+        made = [x for m in messages if m for x in m.files]
+        names = [final for _, final in made]
+        there = [x.path for x in fs.get_file_info(names) if x.type != pafs.FileType.NotFound] if names else []
+        if len(set(names)) < len(names) or there:
+            self.abort(messages)
+            raise ValueError(f"files that exist, or rows of one number in several tasks: {there or 'see the input'}")
+        for ready, final in made:
+            fs.move(ready, final)
+
+    def abort(self, messages):
+        fs, _ = open_fs(self.folder)
+        for m in messages:
+            for ready, _ in m.files if m else []:
+                fs.delete_file(ready)
+
+
+class _LogWriter(_Writer):
+    def _start(self, out):
+        return lambda row: row and out.write(encode_log_record(row[2], bytes(row[3]), bytes(row[4])))
+
+
+class _RunWriter(_Writer):
+    def _start(self, out):
+        builder = RunBuilder(out.write)
+        return lambda row: builder.add(bytes(row[1]), row[2], bytes(row[3])) if row else builder.finish()
 
 
 class LogSource(DataSource):
-    """``format("mutation_wal")``: all records of a folder's ``<id>.wal`` files."""
+    """``format("mutation_wal")``: all records of a folder's ``<id>.wal`` files; written by rows clustered by log and sorted by ordinal."""
 
     @classmethod
     def name(cls):
@@ -188,24 +373,33 @@ class LogSource(DataSource):
         return "wal_id long, ordinal long, op int, key binary, value binary"
 
     def reader(self, schema):
-        return _Files(self.options["path"], ".wal", _log_rows)
+        return _LogReader(self.options["path"], ".wal")
+
+    def writer(self, schema, overwrite):
+        return _LogWriter(self.options["path"], ".wal")
 
 
 class RunSource(DataSource):
-    """``format("sorted_run")``: all records, tombstones included, of a folder's ``<id>.sst`` files; option ``index`` gives the sparse index."""
+    """``format("sorted_run")``: all records, tombstones included, of a folder's ``<id>.sst`` files.
+
+    Option ``index`` gives the sparse index, ``filter`` the filters' bytes; ``range_bytes`` is the share of a run that a task reads. Written by rows clustered by run and sorted by key.
+    """
 
     @classmethod
     def name(cls):
         return "sorted_run"
 
-    def _index(self) -> bool:
-        return self.options.get("index", "false") == "true"
+    def _what(self) -> str:
+        return next((k for k in ("index", "filter") if self.options.get(k, "false") == "true"), "records")
 
     def schema(self):
-        return "run long, block long, last_key binary, offset long, bytes long" if self._index() else "run long, key binary, op int, value binary"
+        return {"index": "run long, block long, last_key binary, offset long, bytes long", "filter": "run long, data binary", "records": "run long, key binary, op int, value binary"}[self._what()]
 
     def reader(self, schema):
-        return _Files(self.options["path"], ".sst", _index_rows if self._index() else _run_rows)
+        return _RunReader(self.options["path"], self._what(), int(self.options.get("range_bytes", RANGE_BYTES)))
+
+    def writer(self, schema, overwrite):
+        return _RunWriter(self.options["path"], ".sst")
 
 
 class _EditReader(DataSourceReader):
@@ -234,6 +428,83 @@ class EditSource(DataSource):
 
 
 def read_native(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:
+    """Native files as a table; the session setting that lets key predicates reach the reader is switched on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (LogSource, RunSource, EditSource):
         spark.dataSource.register(source)
     return spark.read.format(kind).options(**options).load(path)
+
+
+def write_native_logs(records: DataFrame, path: str) -> None:
+    """New logs from ``wal_id``, ``ordinal``, ``op``, ``key``, ``value``; a log is one sequence of bytes, so one task writes it."""
+    records.sparkSession.dataSource.register(LogSource)
+    rows = records.select(F.col("wal_id").cast("long"), F.col("ordinal").cast("long"), F.col("op").cast("int"), F.col("key").cast("binary"), F.col("value").cast("binary"))
+    rows.repartition("wal_id").sortWithinPartitions("wal_id", "ordinal").write.format("mutation_wal").mode("append").save(path)
+
+
+def write_native_runs(rows: DataFrame, path: str) -> None:
+    """New runs from ``run``, ``key``, ``op``, ``value`` (a key once in a run); a run is one file, so one task writes it."""
+    rows.sparkSession.dataSource.register(RunSource)
+    rows = rows.select(F.col("run").cast("long"), F.col("key").cast("binary"), F.col("op").cast("int"), F.col("value").cast("binary"))
+    rows.repartition("run").sortWithinPartitions("run", "key").write.format("sorted_run").mode("append").save(path)
+
+
+class Metadata:
+    """The metadata of a folder: a snapshot and a log of later edits. Small, and kept by one writer."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = open_fs(folder)
+        self.fs.create_dir(self.root, recursive=True)
+        self.next, self.runs, self.wals, self.logged = 0, {}, set(), 0
+        if (data := self._read("MANIFEST")) is not None:
+            self.next, self.runs, wals = decode_snapshot(data)
+            self.wals = set(wals)
+        for edit in decode_edits(self._read("MANIFEST.log") or b""):
+            self._apply(*edit)
+            self.logged += 1
+
+    def _read(self, name: str) -> bytes | None:
+        path = f"{self.root}/{name}"
+        if self.fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        with self.fs.open_input_stream(path, compression=None) as f:
+            return f.read()
+
+    def _replace(self, name: str, data: bytes) -> None:
+        ready = f"{self.root}/.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(ready, compression=None) as out:
+            out.write(data)
+        self.fs.move(ready, f"{self.root}/{name}")
+
+    def _apply(self, op: int, number: int, level: int | None) -> None:
+        if op == ADD_RUN:
+            self.runs[number] = level
+        elif op == DROP_RUN:
+            self.runs.pop(number, None)
+        elif op == ADD_WAL:
+            self.wals.add(number)
+        elif op == DROP_WAL:
+            self.wals.discard(number)
+        else:
+            self.next = number
+
+    def edit(self, op: int, number: int, level: int | None = None) -> bool:
+        """Log and apply an edit; false, without a trace, for a log that is there already or one to drop that is not.
+
+        Every ``CHECKPOINT_EDITS`` edits a snapshot is written and the log emptied.
+        """
+        if op in (ADD_WAL, DROP_WAL) and (number in self.wals) == (op == ADD_WAL):
+            return False
+        whole = self._read("MANIFEST.log") or b""
+        self._replace("MANIFEST.log", whole + encode_edit(op, number, level))
+        self._apply(op, number, level)
+        self.logged += 1
+        if self.logged >= CHECKPOINT_EDITS:
+            self.checkpoint()
+        return True
+
+    def checkpoint(self) -> None:
+        """Snapshot first, then an empty log: after a failure between the two the edits are applied once more, to the same end."""
+        self._replace("MANIFEST", encode_snapshot(self.next, self.runs, sorted(self.wals)))
+        self._replace("MANIFEST.log", b"")
+        self.logged = 0

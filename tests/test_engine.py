@@ -229,6 +229,51 @@ def test_native_runs_and_metadata(spark, tmp_path):
     assert files.decode_snapshot(files.encode_snapshot(9, {5: 1, 3: 0}, [8])) == (9, {3: 0, 5: 1}, [8])
 
 
+def test_native_files_round_trip(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "db")
+    rows = [(run, f"{run}/{i:05d}".encode(), 2 if i % 9 == 0 else 1, b"" if i % 9 == 0 else bytes([i % 256]) * (i % 60)) for run in (3, 12) for i in range(3000)]
+    table = spark.createDataFrame([(r, bytearray(k), o, bytearray(v)) for r, k, o, v in rows], "run long, key binary, op int, value binary")
+    files.write_native_runs(table.repartition(5), path)
+    back = files.read_native(spark, "sorted_run", path, range_bytes="20000")
+    assert sorted((r.run, bytes(r.key), r.op, bytes(r.value)) for r in back.collect()) == rows and back.rdd.getNumPartitions() > 2
+    assert [(r.run, bytes(r.value)) for r in back.where(F.col("key") == F.lit(b"3/00010")).collect()] == [(3, bytes([10]) * 10)]
+    some = back.where(F.col("key").isin([b"3/00009", b"12/02999", b"none", b""])).collect()
+    assert sorted((bytes(r.key), r.op) for r in some) == [(b"12/02999", 1), (b"3/00009", 2)]
+    span = back.where((F.col("key") >= F.lit(b"12/01000")) & (F.col("key") < F.lit(b"12/01005")))
+    assert sorted(bytes(r.key) for r in span.collect()) == [f"12/{i:05d}".encode() for i in range(1000, 1005)]
+    packed = {r.run: bytes(r.data) for r in files.read_native(spark, "sorted_run", path, filter="true").collect()}
+    text = spark.createDataFrame([(r, k.decode()) for r, k, _, _ in rows], "run int, key string")
+    assert packed == {r.run: bytes(r.data) for r in bloom.packed_filters(bloom.create_filters(text)).collect()}
+    assert all(bloom.may_hold(packed[r], k) for r, k, _, _ in rows) and not bloom.may_hold(b"\6", b"x") and sum(bloom.may_hold(packed[3], b"z%d" % i) for i in range(1000)) < 60
+    read, whole = [], files.RunFile(files.open_fs(path)[0].open_input_file(f"{path}/3.sst"))
+    monkeypatch.setattr(files.RunFile, "block", lambda self, k, f=files.RunFile.block: read.append(k) or f(self, k))
+    assert [r[0] for r in whole.find({b"3/01500"})] == [b"3/01500"] and len(read) == 1
+    assert list(whole.find({b"zzz", b"0"})) == [] and len(read) <= 2
+    with pytest.raises(Exception, match="files that exist"):
+        files.write_native_runs(table, path)
+    logs = spark.createDataFrame([(w, i, 1, bytearray(b"k%d" % i), bytearray(b"v" * 70_000 * (i % 30 == 0))) for w in (2, 10) for i in range(60)], "wal_id long, ordinal long, op int, key binary, value binary")
+    files.write_native_logs(logs.repartition(3), path)
+    got = files.read_native(spark, "mutation_wal", path).orderBy("wal_id", "ordinal").collect()
+    assert got == logs.orderBy("wal_id", "ordinal").collect()
+
+
+def test_metadata_is_checkpointed(tmp_path):
+    m = files.Metadata(str(tmp_path))
+    assert m.edit(1, 5) and m.edit(4, 7) and not m.edit(4, 7) and not m.edit(5, 8) and m.edit(2, 9, 1) and m.edit(2, 10, 0) and m.edit(3, 10)
+    again = files.Metadata(str(tmp_path))
+    assert (again.next, again.runs, again.wals, again.logged) == (5, {9: 1}, {7}, 5)
+    for i in range(94):
+        again.edit(4, 100 + i)
+    assert (tmp_path / "MANIFEST.log").stat().st_size > 0
+    again.edit(5, 7)
+    assert (tmp_path / "MANIFEST.log").stat().st_size == 0 and again.logged == 0
+    last = files.Metadata(str(tmp_path))
+    assert (last.next, last.runs, len(last.wals)) == (5, {9: 1}, 94)
+    (tmp_path / "MANIFEST").write_bytes(b"short")
+    with pytest.raises(ValueError):
+        files.Metadata(str(tmp_path))
+
+
 def test_keyspace(spark, tmp_path):
     k = Keyspace(spark, str(tmp_path / "db"))
     schema = "order long, key string, op byte, value string"
