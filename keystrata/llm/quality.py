@@ -24,9 +24,8 @@ NAVIGATION_WORDS = 5
 LOSS_PERCENT = 50
 
 
-def failed_line(line: Column) -> Column:
-    """True for a line that breaks a rule; false for a line without words."""
-    n = F.regexp_count(line, F.lit(WORD))
+def failed_line(line: Column, n: Column) -> Column:
+    """True for a line of ``n`` words that breaks a rule; false for a line without words."""
     bare = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
     noise = F.regexp_count(line, F.lit(rf"!!+|{SYMBOLS}+")) * 100 > n * NOISE_PERCENT
     shouting = (n >= 5) & ~F.rlike(line, F.lit(r"\p{Ll}")) & F.rlike(line, F.lit(r"\p{Lu}"))
@@ -36,10 +35,6 @@ def failed_line(line: Column) -> Column:
     return (n > 0) & (noise | shouting | navigation | F.rlike(line, F.lit(BOILERPLATE)))
 
 
-def _words_in(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0), lambda total, line: total + F.regexp_count(line, F.lit(WORD)))
-
-
 def _bind(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns through a one-row generator, so that no later filter or lambda repeats their computation.
 
@@ -59,14 +54,14 @@ def judge(docs: DataFrame, text_col: str = "text", percent_repeated: int = 20, l
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     step = docs.drop("quality")
-    step = _bind(step, __w=F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != ""), __lines=F.split(text, "\n"))
-    step = _bind(step, __h=F.when(F.size("__w") >= 5, F.expr("transform(sequence(0, size(__w) - 5), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2], __w[i + 3], __w[i + 4]))")).otherwise(F.expr("cast(array() as array<bigint>)")), __bad=F.filter("__lines", failed_line))
+    step = _bind(step, __w=F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != ""), __lines=F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("n"))))
+    step = _bind(step, __h=F.when(F.size("__w") >= 5, F.expr("transform(sequence(0, size(__w) - 5), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2], __w[i + 3], __w[i + 4]))")).otherwise(F.expr("cast(array() as array<bigint>)")), __judged=F.transform("__lines", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), failed_line(x["line"], x["n"]).alias("failed"))))
     # equal windows stand together in the sorted array: keep the places that have an equal neighbour
     places = F.expr("""transform(array(sort_array(transform(__h, (h, p) -> struct(h, p)))), s ->
         sort_array(transform(filter(s, (x, i) -> x.h = get(s, i - 1).h or x.h = get(s, i + 1).h), x -> x.p)))[0]""")
     again = F.when(F.size(F.array_distinct("__h")) < F.size("__h"), places).otherwise(F.expr("cast(array() as array<int>)"))
     covered = F.aggregate(again, F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(5), p - a["last"])).alias("n")), lambda a: a["n"])
-    real = F.filter("__lines", lambda line: F.rlike(line, F.lit(f"[^{SPACE}]")))
+    real = F.transform(F.filter("__judged", lambda x: x["n"] > 0), lambda x: x["line"])
     step = _bind(
         step,
         __n=F.size("__w").cast("long"),
@@ -74,12 +69,13 @@ def judge(docs: DataFrame, text_col: str = "text", percent_repeated: int = 20, l
         __symbols=F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         __dup=F.transform(F.array(real), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
         __repeat=covered.cast("long"),
-        __lost=_words_in(F.col("__bad")).cast("long"),
-    ).drop("__w", "__h")
+        __lost=F.aggregate("__judged", F.lit(0), lambda total, x: total + F.when(x["failed"], x["n"]).otherwise(0)).cast("long"),
+    ).drop("__w", "__h", "__lines")
     base_failed = (F.col("__n") < least_words) | (F.col("__repeat") * 100 > F.col("__n") * percent_repeated)
-    clean = F.when(F.size("__bad") == 0, F.col(text_col)).otherwise(F.array_join(F.filter("__lines", lambda line: ~failed_line(line)), "\n"))
+    passed = F.transform(F.filter("__judged", lambda x: ~x["failed"]), lambda x: x["line"])
+    clean = F.when(F.col("__lost") == 0, F.col(text_col)).otherwise(F.array_join(passed, "\n"))  # lines that fail have words
     quality = F.struct(
         F.col("__n").alias("n_words"), F.col("__chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__dup").alias("n_dup_lines"), F.col("__repeat").alias("n_repeat_words"),
         base_failed.alias("base_failed"), (~base_failed & (F.col("__lost") * 100 <= F.col("__n") * LOSS_PERCENT)).alias("kept"), F.col("__lost").alias("lost_words"), clean.alias("clean_text"),
     )
-    return _bind(step, quality=quality).drop("__bad", "__lines", "__n", "__chars", "__symbols", "__dup", "__repeat", "__lost")
+    return _bind(step, quality=quality).drop("__judged", "__n", "__chars", "__symbols", "__dup", "__repeat", "__lost")
