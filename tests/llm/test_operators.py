@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from keystrata.llm import decontam as decontam_module
-from keystrata.llm import license_scan, near_dedup, tokens
+from keystrata.llm import license_scan, near_dedup, quality, tokens
 from keystrata.llm.decontam import find_contamination
 from keystrata.llm.license_scan import scan_licenses
 from keystrata.llm.line_dedup import site_line_dedup
@@ -596,3 +596,13 @@ def test_encoder_cuts_nothing_apart():
     texts = ["", "a", " a", "a ", "a  b", "a\n b", "a \nb", "\n", "a\n", "a\n\nb", "  x  ", "é ñ  x", "don't  stop", "a\tb c\r\n d", "a  b", "a  b", "x\0y z", "a \1b", "\1a b", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endof text|>", "w" * 100 + " " + "v" * 60 + "\n" + "u" * 70 + " é" * 40, "a\x1c b c", "Hello, world.\nNext line!! 12 3"] * 2
     for t, raw in zip(texts, fast.encode(texts), strict=True):
         assert np.frombuffer(raw, fast.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_boilerplate_look_ahead_spares_no_phrase():
+    """The expression with the look at two letters finds what the plain one finds, in any case and place."""
+    phrases = ["cookie policy", "use cookies", "uses cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "subscribe to our", "click here", "powered by", "skip to content", "lorem ipsum"]
+    for phrase in phrases:
+        for text in (phrase, phrase.upper(), f"xx{phrase.title()}yy"):
+            assert re.search(quality.BOILERPLATE, text) and re.search(quality.FAST_BOILERPLATE, text)
+    for text in ("", "cookies", "user of cookie", "terms of trade", "ﬁne lines"):
+        assert not re.search(quality.BOILERPLATE, text) and not re.search(quality.FAST_BOILERPLATE, text)
