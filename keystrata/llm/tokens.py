@@ -28,8 +28,9 @@ from ._store import Scratch
 MAGIC = b"KSTOK1\0\0"
 #: The dictionary is trained on at most this many whole documents, of at most so many UTF-8 bytes each.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICTIONARY_BYTES = 1500, 16_384, 65_536
-#: Distinct words whose ids a worker remembers before it starts afresh, and the most characters of a remembered one.
-MEMO, MEMO_CHARS = 300_000, 48
+#: Distinct words whose ids a worker remembers before it starts afresh, the same of words that no row of the table holds,
+#: and the most bytes of a remembered one.
+MEMO, MEMO_LONG, MEMO_CHARS = 450_000, 50_000, 48
 
 
 def open_fs(path: str):
@@ -37,6 +38,100 @@ def open_fs(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+class _Words:
+    """Hash table of words with their ids, for whole arrays of words at once.
+
+    A word is a row of ``COLUMNS`` numbers: the byte of the separator before it and its UTF-8 bytes, filled up with zeros
+    to ``WIDTH``. Rows are compared whole, so no two words are taken for each other. Slots are probed in order and are at
+    least twice as many as the words.
+    """
+
+    COLUMNS, WIDTH = 3, 24
+    _mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+    def __init__(self, dtype: np.dtype):
+        self.count, self.used = 0, 0
+        self.keys = [np.zeros(1 << 16, np.uint64) for _ in range(self.COLUMNS)]
+        self.slot_word = np.zeros(1 << 16, np.int32)
+        self.start, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.ids = np.zeros(1 << 17, dtype)
+        self.add(self.bare(1), self.ids[:0], np.zeros(1, np.int32))
+
+    @classmethod
+    def bare(cls, n: int) -> list[np.ndarray]:
+        """Rows of the empty first word of a text that begins with a separator: it has no ids."""
+        return [np.full(n, k == 0, np.uint64) for k in range(cls.COLUMNS)]
+
+    def _slots(self, rows: list[np.ndarray]) -> np.ndarray:
+        h = rows[0] * self._mix[0]
+        for column, factor in zip(rows[1:], self._mix[1:], strict=True):
+            h ^= h >> np.uint64(32)
+            h += column
+            h *= factor
+        return (h >> np.uint64(64 - self.slot_word.size.bit_length() + 1)).astype(np.int64)
+
+    def find(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Numbers of the words, -1 for unknown ones."""
+        slots = self._slots(rows)
+        same = self.keys[0][slots] == rows[0]
+        for key, column in zip(self.keys[1:], rows[1:], strict=True):
+            same &= key[slots] == column
+        found = np.where(same, self.slot_word[slots], -1)
+        todo = np.flatnonzero(~same)
+        slots = slots[todo]
+        while todo.size:
+            taken = self.keys[0][slots] != 0  # an empty slot ends a search; a separator is never zero
+            todo, slots = todo[taken], (slots[taken] + 1) & (self.slot_word.size - 1)
+            same = np.ones(todo.size, bool)
+            for key, column in zip(self.keys, rows, strict=True):
+                same &= key[slots] == column[todo]
+            found[todo[same]] = self.slot_word[slots[same]]
+            todo, slots = todo[~same], slots[~same]
+        return found
+
+    def _place(self, rows: list[np.ndarray], words: np.ndarray) -> None:
+        """Put numbers of words into the slots of their rows."""
+        slots, todo = self._slots(rows), np.arange(words.size)
+        while todo.size:
+            free = self.keys[0][slots] == 0
+            at = slots[free]
+            self.slot_word[at] = words[todo[free]]  # of several for one slot the last stays
+            won = np.zeros(todo.size, bool)
+            won[free] = self.slot_word[at] == words[todo[free]]
+            for key, column in zip(self.keys, rows, strict=True):
+                key[slots[won]] = column[todo[won]]
+            todo, slots = todo[~won], (slots[~won] + 1) & (self.slot_word.size - 1)
+
+    def add(self, rows: list[np.ndarray], ids: np.ndarray, length: np.ndarray) -> None:
+        """Words that are not in the table and differ from each other; ``ids`` are theirs, one word's after the other's."""
+        n = rows[0].size
+        while 2 * (self.count + n) > self.slot_word.size:
+            held = np.flatnonzero(self.keys[0])
+            kept, words = [key[held] for key in self.keys], self.slot_word[held]
+            self.keys = [np.zeros(2 * self.slot_word.size, np.uint64) for _ in self.keys]
+            self.slot_word = np.zeros(2 * self.slot_word.size, np.int32)
+            self._place(kept, words)
+        while self.count + n > self.start.size:
+            self.start, self.length = np.append(self.start, self.start), np.append(self.length, self.length)
+        while self.used + ids.size > self.ids.size:
+            self.ids = np.append(self.ids, self.ids)
+        self._place(rows, np.arange(self.count, self.count + n, dtype=np.int32))
+        self.start[self.count : self.count + n] = self.used + np.cumsum(length) - length
+        self.length[self.count : self.count + n] = length
+        self.ids[self.used : self.used + ids.size] = ids
+        self.count, self.used = self.count + n, self.used + ids.size
+
+    def words(self) -> list[bytes]:
+        """All words, each after its separator."""
+        held = np.flatnonzero(self.keys[0])
+        return [r.tobytes().rstrip(b"\0") for r in np.stack([key[held] for key in self.keys], 1)]
+
+
+def _spans(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Those ids that stand in the given places, one after the other; places past the end give any."""
+    return ids.take(np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum()), mode="clip")
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them (no special tokens added); those of words seen before are remembered.
 
@@ -44,9 +139,16 @@ class Encoder:
     opens the next piece, a line feed is a piece of its own. Texts are cut there, unknown words are encoded together
     in one call and cut by their byte lengths. A text with adjacent or unusual white space, or with the string of an added
     token, is encoded in one piece, and so is every text where the tokenizer is of another kind (``cuts`` is false).
+    Words are kept with the separator before them, a text's first with the byte 1.
     """
 
-    _feed, _head = "\0", "\1"  # mark words after a line feed, and a text's first word
+    _masks = [np.array([(1 << 8 * min(max(n - 8 * k, 0), 8)) - 1 for n in range(_Words.WIDTH + 1)], np.uint64) for k in range(_Words.COLUMNS)]
+    #: Of each byte: 1 is a separator, 2 other white space, 3 may begin white space of two or three bytes (``_white``).
+    _class = np.zeros(256, np.uint8)
+    _class[[0x20, 0x0A, 0x01]] = 1
+    _class[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = 2
+    _class[[0xC2, 0xE1, 0xE2, 0xE3]] = 3
+    _white = np.array(sorted(int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
     def __init__(self, path: str):
         import os
@@ -65,70 +167,105 @@ class Encoder:
         self.byte_length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.byte_length[i] = len(token)
-        self.young: dict[str, bytes | bool] = {}  # two generations: words in use outlive a change
-        self.old: dict[str, bytes | bool] = {}
+        self.table, self.old = _Words(self.dtype), _Words(self.dtype)  # two generations: words in use outlive a change
+        self.long: dict[bytes, np.ndarray] = {}  # words that no row holds
+
+    @property
+    def young(self) -> set[str]:
+        """Words that are remembered, without their separators."""
+        return {w[1:].decode() for w in [*self.table.words(), *self.long]}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _together(self, words: list[str], between: str, into: dict) -> bool:
-        """Learn words that each follow one ``between``; False if any holds white space of its own."""
-        text = between + between.join(words)
-        if len(text.split()) != len(words):
-            return False
-        raw = text.encode()
-        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == ord(between))[1:], len(raw))
-        cuts = ((np.searchsorted(np.cumsum(self.byte_length[ids]), ends, "left") + 1) * self.dtype.itemsize).tolist()
-        data, mark = ids.tobytes(), self._feed if between == "\n" else ""
-        into.update(zip(map(mark.__add__, words) if mark else words, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-        return True
-
-    def _learn(self, words: list[str], into: dict) -> None:
-        known = list(map(self.old.get, words))
-        into.update((w, ids) for w, ids in zip(words, known, strict=True) if ids is not None)
-        after = {" ": [], "\n": []}
-        for w, ids in zip(words, known, strict=True):
-            if ids is None:
-                if w[:1] == self._head:  # a text's first word: nothing stands before it
-                    into[w] = self._whole(w[1:])
-                elif w[:1] == self._feed:
-                    after["\n"].append(w[1:])
-                else:
-                    after[" "].append(w)
-        for between, new in after.items():
-            for lo in range(0, len(new), 8192):
-                part = new[lo : lo + 8192]
-                if not self._together(part, between, into):
-                    clean = [w for w in part if len(w.split()) == 1 and w.strip() == w]
-                    mark = self._feed if between == "\n" else ""
-                    into.update((mark + w, False) for w in set(part) - set(clean))  # must not be cut out
-                    if clean:
-                        self._together(clean, between, into)
+    def _learn(self, words: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words that lie one after the other, each with the separator before it."""
+        ends = np.cumsum(sizes)
+        first = np.frombuffer(words, np.uint8)[ends - sizes] == 1
+        ids = np.array(self.model.encode_batch_fast([words.replace(b"\1", b"\n").decode()], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.searchsorted(np.cumsum(self.byte_length[ids]), ends, "left") + 1
+        start = np.append(0, cuts[:-1]) + first  # nothing stands before a text's first word: less the line feed
+        return _spans(ids, start, cuts - start), cuts - start
+
+    def _numbers(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Numbers in the table of words, which all are in it afterwards."""
+        number = self.table.find(rows)
+        missing = np.flatnonzero(number < 0)
+        if missing.size:
+            lost = [r[missing] for r in rows]
+            order = np.lexsort(lost)
+            new = [r[order] for r in lost]
+            distinct = np.append(True, np.any([r[1:] != r[:-1] for r in new], 0))
+            new = [r[distinct] for r in new]
+            held = self.old.find(new)
+            known, fresh = np.flatnonzero(held >= 0), np.flatnonzero(held < 0)
+            length = self.old.length[held[known]]
+            self.table.add([r[known] for r in new], _spans(self.old.ids, self.old.start[held[known]], length), length)
+            for at in range(0, fresh.size, 8192):
+                part = [r[fresh[at : at + 8192]] for r in new]
+                text = np.stack(part, 1).astype("<u8").view(np.uint8)
+                self.table.add(part, *self._learn(text[text != 0].tobytes(), np.count_nonzero(text, 1)))
+            number[missing] = self.table.find(lost)
+        return number
+
+    def _long(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words that no row holds."""
+        new, found = [w for w in dict.fromkeys(words) if w not in self.long], {}
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
+            ids, length = self._learn(b"".join(part), np.array([len(w) for w in part]))
+            found.update((w, ids[e - n : e].copy()) for w, e, n in zip(part, np.cumsum(length).tolist(), length.tolist(), strict=True))
+        out = [found[w] if w in found else self.long[w] for w in words]
+        self.long.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_CHARS + 1)
+        return out
+
+    def _cut(self, raw: bytes) -> list[bytes | None]:
+        """Serialized ids of texts that each follow a byte 1; None for one that must not be cut."""
+        padded = raw + bytes(_Words.WIDTH)
+        data = np.frombuffer(padded, np.uint8)
+        kind = self._class[data]
+        starts = np.flatnonzero(kind == 1)
+        sizes = np.diff(starts, append=len(raw))
+        first = data[starts] == 1
+        odd = (sizes == 1) & ~first
+        lead = np.flatnonzero(kind == 3)
+        two = data[lead].astype(np.int64) << 8 | data[lead + 1]
+        white = lead[np.isin(two, self._white) | np.isin(two << 8 | data[lead + 2], self._white)]
+        odd[np.searchsorted(starts, np.append(np.flatnonzero(kind == 2), white), "right") - 1] = True
+        text = np.cumsum(first) - 1
+        whole = np.bincount(text[odd], minlength=int(text[-1]) + 1) > 0
+        if whole.any():
+            cut = ~whole[text]
+            starts, sizes, first = starts[cut], sizes[cut], first[cut]
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        rows = [eight[starts + 8 * k] & mask[np.minimum(sizes, _Words.WIDTH)] for k, mask in enumerate(self._masks)]
+        long = np.flatnonzero(sizes > _Words.WIDTH)
+        for r, none in zip(rows, _Words.bare(1), strict=True):
+            r[long] = none
+        number = self._numbers(rows)
+        length = self.table.length[number].astype(np.int64)
+        others = self._long([raw[a : a + n] for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)])
+        length[long] = [len(x) for x in others]
+        ids = _spans(self.table.ids, self.table.start[number], length)
+        ends = np.cumsum(length)
+        for e, x in zip(ends[long].tolist(), others, strict=True):
+            ids[e - len(x) : e] = x
+        data, width = ids.tobytes(), self.dtype.itemsize
+        begins = [*((ends - length)[first] * width).tolist(), len(data)]
+        made = map(data.__getitem__, map(slice, begins, begins[1:]))
+        return [None if w else next(made) for w in whole.tolist()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text; none for a null or empty one."""
-        if len(self.young) > MEMO:
-            self.young, self.old = {}, self.young
-        get, cut, unknown, once = self.young.get, [], {}, {}
-        for text in texts:
-            if not text or not self.cuts or self._feed in text or self._head in text or any(t in text for t in self.added):
-                cut.append(None)
-                continue
-            words = (self._head + text).replace("\n", " " + self._feed).split(" ")
-            got = list(map(get, words))
-            cut.append((words, got))
-            unknown.update((w, None) for w, ids in zip(words, got, strict=True) if ids is None)
-        if unknown:
-            self._learn([w for w in unknown if len(w) <= MEMO_CHARS], self.young)
-            self._learn([w for w in unknown if len(w) > MEMO_CHARS], once)  # long ones are not kept
-        look, out = (lambda w: once[w] if len(w) > MEMO_CHARS else self.young[w]), []
-        for text, c in zip(texts, cut, strict=True):
-            try:
-                out.append(b"" if not text else b"".join([look(w) if ids is None else ids for w, ids in zip(*c, strict=True)]) if c else self._whole(text))
-            except TypeError:  # a word that must not be cut out
-                out.append(self._whole(text))
-        return out
+        if self.table.count > MEMO:
+            self.table, self.old = _Words(self.dtype), self.table
+        if len(self.long) > MEMO_LONG:
+            self.long = {}
+        cut = [bool(t) and self.cuts and "\0" not in t and "\1" not in t and not any(a in t for a in self.added) for t in texts]
+        raw = "".join(["\1" + t for t, c in zip(texts, cut, strict=True) if c]).encode()
+        made = iter(self._cut(raw) if raw else [])
+        got = [next(made) if c else None for c in cut]
+        return [b"" if not t else self._whole(t) if x is None else x for t, x in zip(texts, got, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)

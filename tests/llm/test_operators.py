@@ -606,3 +606,62 @@ def test_boilerplate_look_ahead_spares_no_phrase():
             assert re.search(quality.BOILERPLATE, text) and re.search(quality.FAST_BOILERPLATE, text)
     for text in ("", "cookies", "user of cookie", "terms of trade", "ﬁne lines"):
         assert not re.search(quality.BOILERPLATE, text) and not re.search(quality.FAST_BOILERPLATE, text)
+
+
+def test_encoder_learns_all_new_words_of_a_batch_in_one_call():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self):
+            self.model, self.calls = Tokenizer.from_file(default_tokenizer()), []
+
+        def __getattr__(self, name):
+            self.calls.append(name)
+            return getattr(self.model, name)
+
+    import numpy as np
+
+    fast, plain = tokens.Encoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    fast.model = Counted()
+    texts = [f"first{i} second, {i}\nthird" for i in range(500)] + [" begins with a space"]
+    for _ in range(2):  # the second time all words are known
+        assert [np.frombuffer(x, fast.dtype).tolist() for x in fast.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert fast.model.calls == ["encode_batch_fast"]
+
+
+def test_encoder_equals_the_library_over_generations(monkeypatch):
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    plain, r = Tokenizer.from_file(default_tokenizer()), random.Random(4)
+    parts = ["word", "x,", "don't", "é", "日本語", "。", "’", "😀", "²", "w" * 22, "w" * 23, "w" * 24, "é" * 12, "v" * 60, "\0", "\1", "<|endoftext|>"] + list("\t\r\x1c\x85\xa0\u1680\u180e\u2003\u2028\u202f\u205f\u3000\u200b\ufeff")
+    weights = [8] * 14 + [0.1] * 17
+    for memo, long in ((tokens.MEMO, tokens.MEMO_LONG), (40, 3)):
+        monkeypatch.setattr(tokens, "MEMO", memo)
+        monkeypatch.setattr(tokens, "MEMO_LONG", long)
+        fast = tokens.Encoder(default_tokenizer())
+        for n in range(400):
+            texts = ["".join(r.choices([*parts, " ", "\n", str(n)], [*weights, 60, 15, 8], k=r.randint(0, 40))) for _ in range(r.randint(0, 6))]
+            for t, raw in zip(texts, fast.encode([*texts, None]), strict=False):
+                assert np.frombuffer(raw, fast.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+        assert fast.table.count > 20 and (fast.old.count > memo) == (memo == 40)
+
+
+def test_word_table_grows_and_tells_all_rows_apart():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = np.unique(r.integers(0, 80, (120_000, 3)).astype(np.uint64) << np.uint64(56) | np.uint64(32), axis=0)  # differ in the top byte only
+    have, lack = rows[::2], rows[1::2]
+    table, at = tokens._Words(np.dtype("<u2")), 0
+    while at < len(have):
+        part, length = have[at : at + 9000], (np.arange(at, at + len(have[at : at + 9000])) % 4).astype(np.int32)
+        table.add(list(part.T.copy()), np.repeat(np.arange(len(part), dtype="<u2"), length), length)
+        at += len(part)
+    number = table.find(list(have.T.copy()))
+    assert table.count == len(have) + 1 and sorted(number) == list(range(1, table.count)) and (table.find(list(lack.T.copy())) == -1).all()
+    assert (table.length[number] == np.arange(len(have)) % 4).all() and 2 * table.count <= table.slot_word.size
+    want = np.repeat(np.arange(len(have)) % 9000, np.arange(len(have)) % 4)
+    assert (tokens._spans(table.ids, table.start[number], table.length[number].astype(np.int64)) == want).all()
