@@ -8,9 +8,12 @@ files of lost or repeated attempts are never read. Ids are little-endian, two by
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import hashlib
 import json
+import threading
 import uuid
 import zlib
 
@@ -31,6 +34,8 @@ SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICTIONARY_BYTES = 1500, 16_384, 65_536
 #: Distinct words whose ids a worker remembers before it starts afresh, the same of words that no row of the table holds,
 #: and the most bytes of a remembered one.
 MEMO, MEMO_LONG, MEMO_CHARS = 450_000, 50_000, 48
+#: A worker that has had no task of this module for so many seconds gives the memory of its encoder back.
+IDLE_SECONDS = 2.0
 
 
 def open_fs(path: str):
@@ -274,6 +279,31 @@ def encoder_for(path: str) -> Encoder:
     return Encoder(path)
 
 
+_borrowed = 0
+
+
+@contextlib.contextmanager
+def borrowed_encoder(path: str):
+    """The worker's encoder for one task. Spark keeps idle workers for other stages, whose memory it must not hold."""
+    global _borrowed
+    _borrowed += 1
+    try:
+        yield encoder_for(path)
+    finally:
+        timer = threading.Timer(IDLE_SECONDS, _release, [_borrowed])
+        timer.daemon = True
+        timer.start()
+
+
+def _release(last: int) -> None:
+    """Forget the encoder unless another task came; one that is in use stays with its task."""
+    if last == _borrowed:
+        encoder_for.cache_clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def _groups(batch: pa.RecordBatch, most: int = 1 << 20):
     """Slices of rows with about ``most`` bytes of text, or of one longer row."""
     lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False))
@@ -299,10 +329,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     def train(batches):
         import zstandard
 
-        encoder = encoder_for(tokenizer)
-        end = np.array([end_id], encoder.dtype).tobytes()
         texts = sorted((h, t) for b in batches for h, t in zip(b.column("hash").to_pylist(), b.column("text").to_pylist(), strict=True))[:SAMPLE_DOCS]
-        samples = [x + end for x in encoder.encode([t for _, t in texts])]
+        with borrowed_encoder(tokenizer) as encoder:
+            end = np.array([end_id], encoder.dtype).tobytes()
+            samples = [x + end for x in encoder.encode([t for _, t in texts])]
         try:
             data = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
         except (zstandard.ZstdError, ValueError):
@@ -335,9 +365,12 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         out.write(data)
 
     def write(batches):
+        with borrowed_encoder(tokenizer) as encoder:
+            yield from write_with(encoder, batches)
+
+    def write_with(encoder, batches):
         import zstandard
 
-        encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         frames = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(data), write_content_size=True)

@@ -665,3 +665,23 @@ def test_word_table_grows_and_tells_all_rows_apart():
     assert (table.length[number] == np.arange(len(have)) % 4).all() and 2 * table.count <= table.slot_word.size
     want = np.repeat(np.arange(len(have)) % 9000, np.arange(len(have)) % 4)
     assert (tokens._spans(table.ids, table.start[number], table.length[number].astype(np.int64)) == want).all()
+
+
+def test_idle_worker_gives_its_encoder_back(monkeypatch):
+    import time
+    import weakref
+
+    monkeypatch.setattr(tokens, "IDLE_SECONDS", 0.3)
+    with tokens.borrowed_encoder(default_tokenizer()) as encoder:
+        encoder.encode(["some words"])
+    with tokens.borrowed_encoder(default_tokenizer()) as again:
+        assert again is encoder  # the next task has the same words
+        time.sleep(0.6)
+        assert tokens.encoder_for(default_tokenizer()) is encoder  # the first task's end does not take them from the second
+    gone = weakref.ref(encoder)
+    del encoder, again
+    for _ in range(100):
+        if gone() is None:
+            break
+        time.sleep(0.1)
+    assert gone() is None and tokens.encoder_for.cache_info().currsize == 0
