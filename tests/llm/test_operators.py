@@ -568,6 +568,23 @@ def test_tokens_round_trip(spark, tmp_path):
     assert tokens.read_token_shards(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_shards_are_read_without_processes_beside_the_driver(spark, tmp_path):
+    docs, rows = odd_docs(spark)
+    path = str(tmp_path / "shards")
+    tokens.write_token_shards(docs.repartition(3), path, default_tokenizer())
+    got = tokens.read_token_shards(spark, path, ids=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" not in plan and "MapInArrow" in plan  # a Python source is planned in six processes of the driver
+    assert got.rdd.getNumPartitions() == len(tokens._manifest(path)["shards"])
+    spark.dataSource.register(tokens.TokenSource)
+    source = spark.read.format("token_shards").option("ids", "true").load(path)
+    assert source.schema == got.schema
+    assert sorted(map(repr, source.collect())) == sorted(map(repr, got.collect())) and source.count() == len(rows)
+    assert tokens.read_token_shards(spark, path).columns == source.columns[:-1]
+    tokens.write_token_shards(empty(spark), str(tmp_path / "none"), default_tokenizer())
+    assert spark.read.format("token_shards").load(str(tmp_path / "none")).count() == 0
+
+
 def test_encoder_of_another_kind_gives_the_librarys_ids():
     import numpy as np
     import public_tokenizers
